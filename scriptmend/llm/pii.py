@@ -402,7 +402,7 @@ def _whole(kind: str, shapes: list[str]) -> bool:
     return digits == 9 if kind == "id" else 7 <= digits <= 15
 
 
-_OUT = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+_OUT = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]), T.StructField("n_field", T.LongType()), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
 
 def all_spans(rows: list[str], decoder: Decoder) -> Iterator[tuple[list[S.Span], list[S.Span]]]:
@@ -439,17 +439,18 @@ def all_spans(rows: list[str], decoder: Decoder) -> Iterator[tuple[list[S.Span],
 def _scan(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(field)
     for batch in batches:
-        rows: list[list] = [[] for _ in range(len(KINDS) + 2)]
+        rows: list[list] = [[] for _ in range(7)]
         for base, spans in all_spans(batch.column(1).to_pylist(), decoder):
-            for row, kind in zip(rows, KINDS, strict=False):
-                row.append(sum(s[0] == kind for s in spans))
+            for row, kind in zip(rows, KINDS[:4], strict=False):
+                row.append(sum(s[0] == kind for s in base))
+            rows[4].append(len(spans) - len(base))
             rows[-2].append(S.digest(S.by_kind(base, KINDS)))
             rows[-1].append(S.written(spans))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:-2]), *(pa.array(r, pa.string()) for r in rows[-2:])], names=_OUT.names)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_rows: int = 240, seed: int = 7) -> DataFrame:
-    """One row per document: counts by kind, digest of the base spans, all spans. A map over the scan, without a shuffle."""
+    """One row per document: base spans by kind, spans that the field adds, digest of the base spans, all spans. A map over the scan, without a shuffle."""
     field = docs.sparkSession.sparkContext.broadcast(trained(table_rows, seed))
     return texts(docs, id_col, text_col).mapInArrow(lambda it: _scan(it, field.value), _OUT)
 
