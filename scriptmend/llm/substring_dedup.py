@@ -234,19 +234,40 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             with np.errstate(over="ignore"):
                 least[k : k + len(part)] = minimisers(joined)[np.cumsum([0, *map(len, part[:-1])])]
         with np.errstate(over="ignore"):
-            bucket = np.where(sent, _spread(least[e[:, 0]] * _BASE), _spread(e[:, 1].astype(_U) * _BASE)) % _U(buckets)
-        order = np.argsort(bucket.astype(np.int64), kind="stable")
-        e, sent, bucket = e[order], sent[order], bucket[order].astype(np.int64)
-        size = np.where(sent, sizes[e[:, 0]], -sizes[e[:, 0]]).astype(np.int32)
+            bucket = _spread(least[e[:, 0]] * _BASE) % _U(buckets)
+        whole = _merged_rows(e[~sent, 1], e[~sent, 2], e[~sent, 2] + sizes[e[~sent, 0]])
+        with np.errstate(over="ignore"):
+            bucket = np.concatenate([bucket[sent], _spread(whole[:, 0].astype(_U) * _BASE) % _U(buckets)]).astype(np.int64)
+        size = np.concatenate([sizes[e[sent, 0]], whole[:, 1] - whole[:, 2]])
+        e = np.concatenate([e[sent], np.column_stack([np.zeros(len(whole), np.int64), whole[:, :2]])])
+        # equal minimisers side by side, so that fragments alike are compressed together
+        order = np.lexsort((np.append(least[e[: int(sent.sum()), 0]], np.zeros(len(whole), _U)), size < 0, bucket))
+        e, bucket, size = e[order], bucket[order], size[order]
+        sent = size > 0
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows: list[list] = [[] for _ in range(5)]
         for b in np.flatnonzero(np.diff(edges)).tolist():
             own = slice(edges[b], edges[b + 1])
-            for row, value in zip(rows, (b, b"".join(fragments[i] for i in e[own, 0][sent[own]].tolist()), size[own].tobytes(), e[own, 1].tobytes(), e[own, 2].tobytes()), strict=True):
+            raw = zstandard.ZstdCompressor(3).compress(b"".join(fragments[i] for i in e[own, 0][sent[own]].tolist()))
+            for row, value in zip(rows, (b, raw, size[own].astype(np.int64).tobytes(), e[own, 1].tobytes(), e[own, 2].tobytes()), strict=True):
                 row.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "bytes", "size", "doc", "start"])
 
 
+def _merged_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(document, start, end) of the unions of stretches that touch."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return np.empty((0, 3), np.int64)
+    # ends grow with starts once each document is shifted past the one before
+    shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.append(True, start[1:] + shift[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return np.column_stack([doc[new], start[new], reach[last] - shift[last]])
+
+
 def covered(fragments: list[bytes], docs: np.ndarray) -> list[list[tuple[int, int]]]:
     """For distinct fragments, each with its smallest document: the stretches covered by windows that a smaller document's fragment has too."""
     sizes = np.array([len(f) for f in fragments], np.int64)
@@ -282,8 +303,8 @@ def _suffix_bucket(table: pa.Table) -> pa.Table:
     rows: list[tuple[int, int, int]] = []
     known: dict[bytes, list[tuple[int, int]]] = {}
     for raw, size, doc, start in zip(*(table.column(n).to_pylist() for n in ("bytes", "size", "doc", "start")), strict=True):
-        at = 0
-        for n, d, s in zip(np.frombuffer(size, np.int32).tolist(), np.frombuffer(doc, np.int64).tolist(), np.frombuffer(start, np.int64).tolist(), strict=True):
+        at, raw = 0, zstandard.ZstdDecompressor().decompress(raw)
+        for n, d, s in zip(np.frombuffer(size, np.int64).tolist(), np.frombuffer(doc, np.int64).tolist(), np.frombuffer(start, np.int64).tolist(), strict=True):
             if n < 0:
                 rows.append((d, s, s - n))
             else:
