@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffixes as SX
-from .common import materialize, texts
+from .common import texts
 
 LENGTH, GRAM, LONGEST_RUN, PIECE, BUCKET_BYTES = 50, 16, 64, 1 << 20, 1 << 21
 _U = np.uint64
@@ -371,8 +371,13 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (array of [start, end)) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (array of [start, end)) of every document.
+
+    The documents are dealt by id once: both joins read the same exchange.
+    """
     own = texts(docs, id_col, text_col)
-    found = materialize(repeated_stretches(docs, id_col, text_col), "stretches")
+    found = repeated_stretches(docs, id_col, text_col)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    return own.join(spans, "doc_id", "left").select("doc_id", "text", "start", "end").mapInArrow(_finish, _OUT)
+    joined = own.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "start", "end")
+    alone = own.filter("doc_id is null").select("doc_id", "text", *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
+    return joined.unionByName(alone).mapInArrow(_finish, _OUT)
