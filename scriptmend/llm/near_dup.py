@@ -8,10 +8,10 @@ the documents, whatever their number, and holds the rest for equally rare.
 
 1. Exact copies fold into their smallest document by SHA-256.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples; each band of samples is a bucket.
-3. In each bucket all are compared with the smallest document; who is not similar stays for another round
-   with a new leader. Distance 1 - J is a metric, so a rest row b can be similar to a row a that its leader took
-   only if d(leader, a) >= d(leader, b) - (1 - s): exactly those pairs are compared too. Once at most
-   ``SMALL`` rows of a bucket are left they are compared with each other.
+3. In each bucket all are compared with the smallest document; who is not similar stays for another round,
+   with four times as many leaders each time (up to ``MOST_LEADERS``), until none is left. Distance 1 - J is a
+   metric, so a row b that is left can be similar to a row a that a leader took only if
+   d(leader, a) >= d(leader, b) - (1 - s): exactly those pairs are compared too.
 4. Links with weighted Jaccard ``SIMILARITY`` or more are joined into components by spreading least labels.
 
 Defined results: a null text is empty; a text of under five words has no shingle and only exact copies;
@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, texts
 
-WORDS, SIMILARITY, BANDS, ROWS, SLOTS, SMALL = 5, 0.8, 11, 3, 1 << 20, 12
+WORDS, SIMILARITY, BANDS, ROWS, SLOTS, MOST_LEADERS = 5, 0.8, 11, 3, 1 << 20, 64
 BROADCAST_IDS = 500_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -254,39 +254,36 @@ def links(own: DataFrame, buckets: DataFrame, weights: Weights, threshold: float
     """(a, b): pairs of different texts that share a bucket (band, doc_id) and have weighted Jaccard ``threshold`` or more, up to transitivity."""
     spark = own.sparkSession
     held = spark.sparkContext.broadcast(weights)
-    known = spark.createDataFrame([], "a long, b long, s double")
+    text = materialize(_texts_of(own, buckets.select("doc_id").distinct()), "candidates")
+    known: DataFrame | None = None
     found = spark.createDataFrame([], "a long, b long")
-    text = None
-    active = buckets
+    active, n_leaders = buckets, 1
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        """Similarity of the pairs not measured before; what is known grows by it."""
+        nonlocal known, found
+        fresh = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
+        new = materialize(_joined_texts(fresh, text).mapInArrow(lambda it: _measure(it, held.value), "a long, b long, s double"), "measured")
+        known = new if known is None else known.unionByName(new)
+        found = found.unionByName(new.filter(F.col("s") >= threshold).select("a", "b"))
+        return known
+
     while True:
-        led = active.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = active.join(led, "band").filter("doc_id != leader")
-        few = members.filter(F.col("n") <= SMALL)
-        pairs = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-        inner = few.alias("x").join(few.alias("y"), "band").filter("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        first = text is None
-        asked = (pairs if first else pairs.unionByName(inner)).distinct()
-        asked = materialize(asked.join(known, ["a", "b"], "left_anti"), "pairs")
-        if first:
-            ids = asked.select(F.col("a").alias("doc_id")).union(asked.select("b")).distinct()
-            text = materialize(_texts_of(own, ids), "candidates")
-        measured = materialize(_joined_texts(asked, text).mapInArrow(lambda it: _measure(it, held.value), "a long, b long, s double"), "measured")
-        known = known.unionByName(measured)
-        found = found.unionByName(measured.filter(F.col("s") >= threshold).select("a", "b"))
-        judged = members.join(known, (members.leader == known.a) & (members.doc_id == known.b)).select("band", "doc_id", "leader", "n", "s")
-        # rows that a leader took, and rows left that may still be similar to one of them
-        if not first:
-            judged = judged.filter(F.col("n") > SMALL)
-        judged = materialize(judged.filter(F.col("s") < threshold).unionByName(judged.filter(F.col("s") >= threshold)), "judged")
-        rest = judged.filter(F.col("s") < threshold)
-        near = rest.filter(1 - F.col("s") <= 2 * (1 - threshold) + 1e-9).alias("x").join(judged.filter(F.col("s") >= threshold).alias("y"), "band").filter(F.expr(f"(1 - y.s) >= (1 - x.s) - {1 - threshold} - 1e-9"))
-        cross = near.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).filter("a < b").distinct().join(known, ["a", "b"], "left_anti")
-        cross = materialize(_joined_texts(cross, text).mapInArrow(lambda it: _measure(it, held.value), "a long, b long, s double"), "cross")
-        known = known.unionByName(cross)
-        found = found.unionByName(cross.filter(F.col("s") >= threshold).select("a", "b"))
-        active = materialize(rest.select("band", "doc_id"), "active")
-        if active.limit(1).count() == 0:
+        first = Window.partitionBy("band").orderBy("doc_id")
+        led = active.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= n_leaders).select("band", F.col("doc_id").alias("a"))
+        pairs = materialize(led.join(active.select("band", F.col("doc_id").alias("b")), "band").filter("a < b"), "pairs")
+        judged = pairs.join(measure(pairs.select("a", "b").distinct()), ["a", "b"])
+        best = judged.groupBy("band", "b").agg(F.max("s").alias("best"))
+        leaders = led.select("band", F.col("a").alias("b"))
+        rest = materialize(best.filter(F.col("best") < threshold).join(leaders, ["band", "b"], "left_anti").select("band", "b"), "rest")
+        if rest.limit(1).count() == 0:
             return found.distinct()
+        # rows left that may still be similar to one that a leader took
+        near = judged.filter((F.col("s") < threshold) & (1 - F.col("s") <= 2 * (1 - threshold) + 1e-9)).join(rest, ["band", "b"], "left_semi").select("band", "a", F.col("b").alias("x"), F.col("s").alias("sx"))
+        took = judged.filter(F.col("s") >= threshold).select("band", "a", F.col("b").alias("y"), F.col("s").alias("sy"))
+        cross = near.join(took, ["band", "a"]).filter((1 - F.col("sy")) >= (1 - F.col("sx")) - (1 - threshold) - 1e-9)
+        measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        active, n_leaders = rest.withColumnRenamed("b", "doc_id"), min(4 * n_leaders, MOST_LEADERS)
 
 
 def _joined_texts(pairs: DataFrame, text: DataFrame) -> DataFrame:
