@@ -9,9 +9,10 @@ the documents, whatever their number, and holds the rest for equally rare.
 1. Exact copies fold into their smallest document by SHA-256.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples; each band of samples is a bucket.
 3. In each bucket all are compared with the smallest document; who is not similar stays for another round,
-   with four times as many leaders each time (up to ``MOST_LEADERS``), until none is left. Distance 1 - J is a
-   metric, so a row b that is left can be similar to a row a that a leader took only if
-   d(leader, a) >= d(leader, b) - (1 - s): exactly those pairs are compared too.
+   with four times as many leaders each time (up to ``MOST_LEADERS``), until under two are left. Distance 1 - J
+   is a metric, so a row x that is not similar to a leader can be similar to a row y that the leader took only
+   if d(leader, y) >= d(leader, x) - (1 - s): those pairs are compared too, where the links so far have not
+   joined x and the leader anyway.
 4. Links with weighted Jaccard ``SIMILARITY`` or more are joined into components by spreading least labels.
 
 Defined results: a null text is empty; a text of under five words has no shingle and only exact copies;
@@ -250,40 +251,50 @@ def _texts_of(own: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def links(own: DataFrame, buckets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """(a, b): pairs of different texts that share a bucket (band, doc_id) and have weighted Jaccard ``threshold`` or more, up to transitivity."""
+def linked(own: DataFrame, buckets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """(doc_id, label) of every document linked to another: pairs of different texts that share a bucket (band, doc_id) and have weighted Jaccard ``threshold`` or more are links."""
     spark = own.sparkSession
     held = spark.sparkContext.broadcast(weights)
     text = materialize(_texts_of(own, buckets.select("doc_id").distinct()), "candidates")
     known: DataFrame | None = None
-    found = spark.createDataFrame([], "a long, b long")
-    active, n_leaders = buckets, 1
+    judged: DataFrame | None = None
 
     def measure(pairs: DataFrame) -> DataFrame:
-        """Similarity of the pairs not measured before; what is known grows by it."""
-        nonlocal known, found
+        """(a, b, s) of pairs not measured before, kept."""
+        nonlocal known
         fresh = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
         new = materialize(_joined_texts(fresh, text).mapInArrow(lambda it: _measure(it, held.value), "a long, b long, s double"), "measured")
         known = new if known is None else known.unionByName(new)
-        found = found.unionByName(new.filter(F.col("s") >= threshold).select("a", "b"))
-        return known
+        return new
 
+    active, n_leaders = buckets, 1
     while True:
-        first = Window.partitionBy("band").orderBy("doc_id")
-        led = active.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= n_leaders).select("band", F.col("doc_id").alias("a"))
+        if n_leaders == 1:
+            led = active.groupBy("band").agg(F.min("doc_id").alias("a"))
+        else:
+            first = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
+            led = active.withColumn("r", first).filter(F.col("r") <= n_leaders).select("band", F.col("doc_id").alias("a"))
         pairs = materialize(led.join(active.select("band", F.col("doc_id").alias("b")), "band").filter("a < b"), "pairs")
-        judged = pairs.join(measure(pairs.select("a", "b").distinct()), ["a", "b"])
-        best = judged.groupBy("band", "b").agg(F.max("s").alias("best"))
-        leaders = led.select("band", F.col("a").alias("b"))
-        rest = materialize(best.filter(F.col("best") < threshold).join(leaders, ["band", "b"], "left_anti").select("band", "b"), "rest")
-        if rest.limit(1).count() == 0:
-            return found.distinct()
-        # rows left that may still be similar to one that a leader took
-        near = judged.filter((F.col("s") < threshold) & (1 - F.col("s") <= 2 * (1 - threshold) + 1e-9)).join(rest, ["band", "b"], "left_semi").select("band", "a", F.col("b").alias("x"), F.col("s").alias("sx"))
-        took = judged.filter(F.col("s") >= threshold).select("band", "a", F.col("b").alias("y"), F.col("s").alias("sy"))
-        cross = near.join(took, ["band", "a"]).filter((1 - F.col("sy")) >= (1 - F.col("sx")) - (1 - threshold) - 1e-9)
-        measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        active, n_leaders = rest.withColumnRenamed("b", "doc_id"), min(4 * n_leaders, MOST_LEADERS)
+        measure(pairs.select("a", "b").distinct())
+        own_judged = pairs.join(known, ["a", "b"])
+        judged = own_judged if judged is None else judged.unionByName(own_judged)
+        left = own_judged.groupBy("band", "b").agg(F.max("s").alias("best")).filter(F.col("best") < threshold)
+        left = left.join(led.select("band", F.col("a").alias("b")), ["band", "b"], "left_anti")
+        several = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+        active = materialize(left.join(several, "band").select("band", F.col("b").alias("doc_id")), "active")
+        if active.limit(1).count() == 0:
+            break
+        n_leaders = min(4 * n_leaders, MOST_LEADERS)
+    link = lambda d: d.filter(F.col("s") >= threshold).select("a", "b")
+    labels = components(link(known))
+    # rows x outside their leader's component that may still be similar to a row y that the leader took
+    apart = judged.filter((F.col("s") < threshold) & (1 - F.col("s") <= 2 * (1 - threshold) + 1e-9))
+    of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"))
+    apart = apart.join(of("a"), "a").join(of("b"), "b", "left").filter(F.col("la") != F.coalesce("lb", "b")).select("band", "a", F.col("b").alias("x"), F.col("s").alias("sx"))
+    took = judged.filter(F.col("s") >= threshold).select("band", "a", F.col("b").alias("y"), F.col("s").alias("sy"))
+    cross = apart.join(took, (apart.band == took.band) & (apart.a == took.a) & ((1 - F.col("sy")) >= (1 - F.col("sx")) - (1 - threshold) - 1e-9))
+    new = link(measure(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    return components(link(known)) if new.limit(1).count() else labels
 
 
 def _joined_texts(pairs: DataFrame, text: DataFrame) -> DataFrame:
@@ -318,7 +329,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     alone = signed.join(reps, (signed.digest == reps.digest) & (signed.doc_id == reps.rep), "left_semi").select("doc_id", F.explode(F.array_distinct("bands")).alias("band")).distinct()
     shared = alone.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     buckets = materialize(alone.join(shared, "band").select("band", "doc_id"), "buckets")
-    labels = components(links(own, buckets, weights, threshold))
+    labels = linked(own, buckets, weights, threshold)
     named = reps.join(labels, reps.rep == labels.doc_id, "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     known = signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     return known.unionByName(whole.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
