@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffixes as SX
-from .common import texts
+from .common import OWN
 
 LENGTH, GRAM, LONGEST_RUN, PIECE, BUCKET_BYTES = 50, 16, 64, 1 << 20, 1 << 21
 _U = np.uint64
@@ -355,18 +355,23 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucket_count(own: DataFrame) -> int:
     spark = own.sparkSession
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = own.agg(F.sum(F.octet_length(OWN + "text"))).first()[0] or 0
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
 
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__sm_id, __sm_text). Names of their own make this the same plan wherever it is used, so that its exchange is reused."""
+    return docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.coalesce(F.col(text_col), F.lit("")).alias(OWN + "text"))
+
+
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end): stretches, in bytes, that go; they may overlap."""
-    own = texts(docs, id_col, text_col).filter("doc_id is not null")
+    own = _own(docs, id_col, text_col).filter(F.col(OWN + "id").isNotNull())
     buckets = bucket_count(own)
     offered = own.mapInArrow(lambda it: _offer(it, buckets), _SENT)
     shared = offered.groupBy("bucket").applyInArrow(_shared, "doc_id long, least long")
-    told = shared.groupBy("doc_id").agg(F.collect_list("least").alias("least"))
-    sent = own.join(told, "doc_id").select("doc_id", "text", "least").mapInArrow(lambda it: _send(it, buckets), _FRAGMENTS)
+    told = shared.groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list("least").alias("least"))
+    sent = own.join(told, OWN + "id").select(OWN + "id", OWN + "text", "least").mapInArrow(lambda it: _send(it, buckets), _FRAGMENTS)
     return sent.groupBy("bucket").applyInArrow(_suffix_bucket, "doc_id long, start long, end long")
 
 
@@ -375,9 +380,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The documents are dealt by id once: both joins read the same exchange.
     """
-    own = texts(docs, id_col, text_col)
+    own = _own(docs, id_col, text_col)
     found = repeated_stretches(docs, id_col, text_col)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    joined = own.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "text", "start", "end")
-    alone = own.filter("doc_id is null").select("doc_id", "text", *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
+    spans = found.groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list(F.struct("start", "end")).alias("s")).select(OWN + "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    joined = own.filter(F.col(OWN + "id").isNotNull()).join(spans, OWN + "id", "left").select(OWN + "id", OWN + "text", "start", "end")
+    alone = own.filter(F.col(OWN + "id").isNull()).select(OWN + "id", OWN + "text", *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
     return joined.unionByName(alone).mapInArrow(_finish, _OUT)
