@@ -1,4 +1,4 @@
-"""Registry of the named queries."""
+"""Registry of the named queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, lookup, ranking, relational
+
 FLAGSHIP = "parallel_lookup"
 
+QUERIES = corpus.QUERIES | lookup.QUERIES | ranking.QUERIES | relational.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
