@@ -3,7 +3,7 @@
 Tier one is a compact table (pre-token -> number of tokens) of the most frequent pre-tokens of all
 documents, broadcast; its size is bounded by ``frequent`` entries of at most ``longest`` characters. It
 comes from a pass in which each task keeps a bounded counter of its own pre-tokens and hands over one row,
-its heaviest few; pre-tokens themselves are never shuffled. Tier two is the cache of a worker, bounded by
+its heaviest few; only these bounded summaries meet, the pre-tokens of the texts are never shuffled. Tier two is the cache of a worker, bounded by
 ``cache_words``: what the table misses is encoded there once. The table only saves work: counts don't
 depend on it.
 
