@@ -9,7 +9,8 @@ the documents, whatever their number, and holds the rest for equally rare.
 1. Exact copies fold into their smallest document by SHA-256.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples; each band of samples is a bucket.
 3. In each bucket all are compared with the smallest document; who is not similar stays for another round,
-   with four times as many leaders each time (up to ``MOST_LEADERS``), until under two are left. Distance 1 - J
+   with four times as many leaders each time (up to ``MOST_LEADERS``), those first whose component is rarest in
+   the bucket, until all that are left there belong to one component of the links so far. Distance 1 - J
    is a metric, so a row x that is not similar to a leader can be similar to a row y that the leader took only
    if d(leader, y) >= d(leader, x) - (1 - s): those pairs are compared too, where the links so far have not
    joined x and the leader anyway.
@@ -267,26 +268,28 @@ def linked(own: DataFrame, buckets: DataFrame, weights: Weights, threshold: floa
         known = new if known is None else known.unionByName(new)
         return new
 
-    active, n_leaders = buckets, 1
+    link = lambda d: d.filter(F.col("s") >= threshold).select("a", "b")
+    active, n_leaders = buckets.select("band", "doc_id"), 1
     while True:
         if n_leaders == 1:
             led = active.groupBy("band").agg(F.min("doc_id").alias("a"))
         else:
-            first = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
-            led = active.withColumn("r", first).filter(F.col("r") <= n_leaders).select("band", F.col("doc_id").alias("a"))
-        pairs = materialize(led.join(active.select("band", F.col("doc_id").alias("b")), "band").filter("a < b"), "pairs")
-        measure(pairs.select("a", "b").distinct())
-        own_judged = pairs.join(known, ["a", "b"])
+            alike = F.count(F.lit(1)).over(Window.partitionBy("band", "label"))
+            first = F.row_number().over(Window.partitionBy("band").orderBy("alike", "doc_id"))
+            led = active.withColumn("alike", alike).withColumn("r", first).filter(F.col("r") <= n_leaders).select("band", F.col("doc_id").alias("a"))
+        met = led.join(active.select("band", F.col("doc_id").alias("b")), "band").filter("a != b")
+        pairs = materialize(met.select("band", "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), "pairs")
+        measure(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        own_judged = pairs.join(known.select(F.col("a").alias("x"), F.col("b").alias("y"), "s"), ["x", "y"]).select("band", "a", "b", "s")
         judged = own_judged if judged is None else judged.unionByName(own_judged)
+        labels = components(link(known))
         left = own_judged.groupBy("band", "b").agg(F.max("s").alias("best")).filter(F.col("best") < threshold)
-        left = left.join(led.select("band", F.col("a").alias("b")), ["band", "b"], "left_anti")
-        several = left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-        active = materialize(left.join(several, "band").select("band", F.col("b").alias("doc_id")), "active")
+        left = left.join(led.select("band", F.col("a").alias("b")), ["band", "b"], "left_anti").join(labels, F.col("b") == labels.doc_id, "left").select("band", F.col("b").alias("doc_id"), F.coalesce("label", "b").alias("label"))
+        apart = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band")
+        active = materialize(left.join(apart, "band").select("band", "doc_id", "label"), "active")
         if active.limit(1).count() == 0:
             break
         n_leaders = min(4 * n_leaders, MOST_LEADERS)
-    link = lambda d: d.filter(F.col("s") >= threshold).select("a", "b")
-    labels = components(link(known))
     # rows x outside their leader's component that may still be similar to a row y that the leader took
     apart = judged.filter((F.col("s") < threshold) & (1 - F.col("s") <= 2 * (1 - threshold) + 1e-9))
     of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"))
