@@ -99,7 +99,8 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
 @pytest.mark.parametrize("small", [True, False])
 def test_mix(spark, small):
     if small:
-        rows = [(i, " ".join(["w"] * (i % 7)), [None, "a", "b", "ß", "c"][i % 5], 1) for i in range(400)] + [(7, "w", "a", 1)] * 2 + [(900, None, "empty", 1)]
+        rows = [(i, " ".join(["w"] * (i % 7)), [None, "a", "b", "ß", "c"][i % 5], 1) for i in range(400)]
+        rows += [rows[8]] * 2 + [(900, None, "empty", 1)]
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
     else:
         df = spark.read.parquet(f"{SMALL}/documents.parquet")
