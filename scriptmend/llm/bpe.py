@@ -61,7 +61,8 @@ class Encoder:
                 self.ids.append([special])
 
 
-def _chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def lots(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Neighbouring texts of about so many characters together."""
     part: list[str] = []
     size = 0
     for text in texts:
@@ -79,7 +80,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text_col: str,
     for batch in batches:
         texts = [x or "" for x in batch.column(text_col).to_pylist()]
         lengths, flat = [0], []
-        for part in _chunks(texts):
+        for part in lots(texts):
             pieces = [coder.eng.pieces(t) for t in part]
             coder.learn(list(set(chain.from_iterable(pieces))))
             codes, ids = coder.codes, coder.ids

@@ -13,14 +13,17 @@ extra columns are not read; texts of any length are counted whole.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import lots
 from .bpe_engine import engine
 from .common import texts
 
@@ -64,27 +67,30 @@ def frequent_table(docs: DataFrame, path: str, frequent: int = FREQUENT, longest
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
+@functools.lru_cache(maxsize=2)
+def _worker_cache(path: str) -> dict[str | int, int]:
+    """What this worker has encoded under a vocabulary: it outlives tasks."""
+    return {}
+
+
 def _count(batches: Iterator[pa.RecordBatch], path: str, table: dict[str, int], cache_words: int) -> Iterator[pa.RecordBatch]:
-    eng = engine(path)
-    known: dict[str | int, int] = dict(table)
+    """Counts of lots of texts: all words of a lot that the table and the cache miss are encoded together."""
+    eng, known = engine(path), _worker_cache(path)
     for batch in batches:
-        sizes, counts = [], []
-        for value in batch.column(1):
-            text = value.as_py()
-            pieces = eng.pieces(text)
-            try:
-                n = sum([known[p] for p in pieces])
-            except KeyError:
-                new = list({p for p in pieces if p not in known})
-                if len(known) + len(new) > cache_words + len(table):
-                    known = dict(table)
-                    new = list({p for p in pieces if p not in known})
-                words = [p for p in new if isinstance(p, str)]
-                known.update(zip(words, map(len, eng.ids_of(words)), strict=True))
-                known.update((p, 1) for p in new if isinstance(p, int))
-                n = sum([known[p] for p in pieces])
-            counts.append(n)
-            sizes.append(len(text.encode("utf-8", "surrogatepass")))
+        texts_ = batch.column(1).to_pylist()
+        counts: list[int] = []
+        for part in lots(texts_):
+            pieces = [eng.pieces(t) for t in part]
+            new = {p for p in set(chain.from_iterable(pieces)) if p not in known and p not in table}
+            if len(known) + len(new) > cache_words:
+                known.clear()
+                new = {p for p in set(chain.from_iterable(pieces)) if p not in table}
+            words = [p for p in new if isinstance(p, str)]
+            known.update(zip(words, map(len, eng.ids_of(words)), strict=True))
+            known.update((p, 1) for p in new if isinstance(p, int))
+            for own in pieces:
+                counts.append(sum([table[p] if p in table else known[p] for p in own]))
+        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts_]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=_OUT.names)
 
 
