@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,6 @@ def span_mask(docs: DataFrame, key: str, share: float = 0.15, p: float = 0.3, lo
     """
     mean = sum(min(k, longest) * p * (1 - p) ** (k - 1) for k in range(1, 200))
     start = share / mean
-    import math
-
     length = lambda i: F.least(F.lit(longest), 1 + F.floor(F.log(1 - _unit(seed + "-len", key, i)) / math.log(1 - p)))
     begun = F.filter(F.transform(words_col, lambda w, i: F.when(_unit(seed, key, i) < start, F.struct(i.alias("a"), (i + length(i)).alias("b")))), lambda s: s.isNotNull())
     df = docs.withColumn("_b", begun)

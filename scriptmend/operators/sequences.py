@@ -103,3 +103,27 @@ def context_keys(left: Column, right: Column) -> Column:
 def ngrams(ws: Column, n: int) -> Column:
     """n-word stretches; none where there are fewer words."""
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.slice(ws, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def strided_spans(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (1, 2, 3, 4, 6), around: int = 5, step: int = 5, words_col: str = "ws") -> DataFrame:
+    """keys, start, n_words, gold of a scan that looks for a span of each size at a position, moves on by ``step`` where it found any, by one where not.
+
+    A span counts if its words have two letters or more and ``around`` words stand on each side. Where the scan
+    goes next depends on what it found, so it runs in Python, row by row, in Arrow batches.
+    """
+    import pandas as pd
+
+    def scan(words: list[str]) -> list[tuple[int, int]]:
+        out, i, n = [], around, len(words)
+        while i < n - around:
+            found = [(i, k) for k in sizes if i + k + around <= n and all(len(w) >= 2 for w in words[i : i + k])]
+            out += found
+            i += step if found else 1
+        return out
+
+    @F.pandas_udf("array<struct<start:int,n_words:int>>")
+    def scanned(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "n_words": k} for a, k in scan(list(w))] for w in column])
+
+    rows = docs.select(*keys, words_col, F.explode(scanned(F.col(words_col))).alias("s")).select(*keys, words_col, "s.*")
+    return rows.withColumn("gold", F.array_join(F.slice(F.col(words_col), F.col("start") + 1, F.col("n_words")), " ")).drop(words_col)

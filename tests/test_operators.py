@@ -190,3 +190,44 @@ def test_html():
     page = "<table><tr><td><span data-id='5'>אב</span><span class='alt'><span data-id='6'>ג</span></span></td></tr><tr><td><span data-id='0'>x</span><span data-id='7'>ד</span></td></tr></table>"
     assert html.column_words(page) == [(0, 0, 5, "אב", False), (0, 1, 6, "ג", True), (1, 0, 7, "ד", False)]
     assert html.column_words(None) == []
+
+
+def test_strided_spans(spark):
+    docs = sequences.with_words(spark.createDataFrame([(1, "aa bb cc d ee ff gg hh")], "doc_id long, text string"))
+    got = [(r.start, r.n_words, r.gold) for r in sequences.strided_spans(docs, ["doc_id"], (1, 2), 1, 3).orderBy("start", "n_words").collect()]
+    assert got == [(1, 1, "bb"), (1, 2, "bb cc"), (4, 1, "ee"), (4, 2, "ee ff")]
+
+
+def test_fetch_guards():
+    import io
+
+    from scriptmend.sources import http
+
+    class Answer(io.BytesIO):
+        url = "https://host/data/x"
+
+        def geturl(self):
+            return self.url
+
+    class Elsewhere(Answer):
+        url = "https://other/x"
+
+    tries = []
+
+    def flaky(url):
+        tries.append(url)
+        if len(tries) < 3:
+            raise OSError("down")
+        return Answer(b'{"a": 1}')
+
+    assert http.fetch_json("https://host/data", "x y", opener=flaky, pause=lambda s: None) == {"a": 1}
+    assert tries == ["https://host/data/x%20y"] * 3
+    for path in ("../x", "a/%2e%2e/b", "https://other/x"):
+        with pytest.raises(ValueError, match="unsafe"):
+            http.safe_url("https://host", path)
+    with pytest.raises(ValueError, match="another host"):
+        http.fetch("https://host", "x", opener=lambda u: Elsewhere(b""))
+    with pytest.raises(ValueError, match="over 3"):
+        http.fetch("https://host", "x", most=3, opener=lambda u: Answer(b"long"))
+    with pytest.raises(ValueError, match="digest"):
+        http.fetch_pinned("https://host", "x", "0", opener=lambda u: Answer(b"a"))
