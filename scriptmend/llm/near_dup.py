@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, texts
 
-WORDS, SIMILARITY, BANDS, ROWS, SLOTS, MOST_LEADERS = 5, 0.8, 11, 3, 1 << 20, 64
+WORDS, SIMILARITY, BANDS, ROWS, SLOTS, MOST_LEADERS = 5, 0.8, 20, 5, 1 << 20, 64
 BROADCAST_IDS = 500_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
