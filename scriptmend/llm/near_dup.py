@@ -1,8 +1,8 @@
 """Near-duplicate classes by consistent weighted sampling.
 
-A document is its five-word shingles, each weighted by tf * (1 + idf) / 2, idf scaled to [0, 1]; weights of
-single occurrences so lie within a factor of two, and a large group of near copies, whose common shingles are
-frequent for that very reason, still finds itself. Document frequencies of all documents go into a counting
+A document is its five-word shingles, each weighted by (1 + ln tf) * (9 + idf) / 10, idf scaled to [0, 1];
+weights of single occurrences so lie within a tenth of each other, and a large group of near copies, whose
+common shingles are frequent for that very reason, still finds itself. Document frequencies of all documents go into a counting
 sketch of ``SLOTS`` counters, fixed in size: it tells apart what occurs in more than a ten-thousandth or so of
 the documents, whatever their number, and holds the rest for equally rare.
 
@@ -135,14 +135,14 @@ def document_frequencies(own: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Weights:
-    """Weight of a shingle's single occurrence: (1 + idf) / 2 with idf scaled to [0, 1]."""
+    """Weight of a shingle: (1 + ln tf) * (9 + idf) / 10 with idf scaled to [0, 1]."""
 
     def __init__(self, counts: np.ndarray, n: int) -> None:
         idf = np.log((n + 1) / (np.minimum(counts, n) + 1)) / np.log(n + 1) if n else np.zeros(len(counts))
-        self.table = ((1 + np.clip(idf, 0, 1)) / 2).astype(np.float32)
+        self.table = ((9 + np.clip(idf, 0, 1)) / 10).astype(np.float32)
 
     def of(self, grams: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return self.table[(grams >> _U(44)).astype(np.int64)] * times
+        return self.table[(grams >> _U(44)).astype(np.int64)] * (1 + np.log(times)).astype(np.float32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
