@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ def strided_spans(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (
     A span counts if its words have two letters or more and ``around`` words stand on each side. Where the scan
     goes next depends on what it found, so it runs in Python, row by row, in Arrow batches.
     """
-    import pandas as pd
-
     def scan(words: list[str]) -> list[tuple[int, int]]:
         out, i, n = [], around, len(words)
         while i < n - around:
