@@ -29,12 +29,17 @@ def single_cases(items: DataFrame, key: str = "item_id", words_col: str = "ws")
     return df.select((F.col("item") * 100000 + F.col("pos")).alias("case_id"), "item", "pos", F.get(ws, F.col("pos") - 1).alias("lw"), F.get(ws, F.col("pos")).alias("gold"), F.get(ws, F.col("pos") + 1).alias("rw"))
 
 
-def neighbour_model(pairs: DataFrame, given: str, wanted: str, keys: DataFrame, k: int = 20) -> DataFrame:
-    """given, candidate, score, rank (0-based): the ``k`` best of each word in ``keys`` (one column, ``given``)."""
+def neighbour_scores(pairs: DataFrame, given: str, wanted: str, keys: DataFrame) -> DataFrame:
+    """given, candidate, score: the whole list of each word in ``keys`` (one column, ``given``)."""
     counts = pairs.join(maybe_broadcast(keys.distinct()), given, "left_semi").groupBy(given, F.col(wanted).alias("candidate")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(given))
+    return counts.select(given, "candidate", F.round(F.log(F.col("n") / total), 6).alias("score"))
+
+
+def neighbour_model(pairs: DataFrame, given: str, wanted: str, keys: DataFrame, k: int = 20) -> DataFrame:
+    """given, candidate, score, rank (0-based): the ``k`` best of each word in ``keys`` (one column, ``given``)."""
     rank = F.row_number().over(Window.partitionBy(given).orderBy(F.desc("score"), "candidate")) - 1
-    return counts.withColumn("score", F.round(F.log(F.col("n") / total), 6)).withColumn("rank", rank).filter(F.col("rank") < k).select(given, "candidate", "score", "rank")
+    return neighbour_scores(pairs, given, wanted, keys).withColumn("rank", rank).filter(F.col("rank") < k).select(given, "candidate", "score", "rank")
 
 
 def two_systems(docs: DataFrame, cases: DataFrame, k: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranking as R
@@ -80,26 +80,31 @@ def logistic_rerank_apply(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.summary(fusion.gold_ranks(fusion.ranked(scored, ["case_id"], "p"), c).withColumn("system", F.lit("logistic")), ["system"])
 
 
-def _visible(tolerance: int) -> Column:
-    """First and last letter of the gold word are known, and its length within a tolerance."""
-    return F.col("candidate").startswith(F.left("gold", F.lit(1))) & F.col("candidate").endswith(F.right("gold", F.lit(1))) & (F.abs(F.length("candidate") - F.length("gold")) <= tolerance)
+def _fitting(spark: SparkSession, sf: str, tolerance: int) -> DataFrame:
+    """case_id, gold, candidate, score, off: of the model's whole list those with the first and last letter of the gold word whose length is off by ``tolerance`` at most."""
+    c = cases(spark, sf)
+    ends = lambda w: (F.left(w, F.lit(1)).alias("head"), F.right(w, F.lit(1)).alias("tail"))
+    near = F.sequence(F.length("gold") - tolerance, F.length("gold") + tolerance)
+    asked = c.select("case_id", "gold", F.col("lw").alias("w1"), *ends("gold"), F.explode(near).alias("len"))
+    known = C.neighbour_scores(C.bigrams(docs(spark, sf)), "w1", "w2", c.select(F.col("lw").alias("w1")))
+    known = known.select("w1", "candidate", "score", *ends("candidate"), F.length("candidate").alias("len"))
+    return asked.join(known, ["w1", "head", "tail", "len"]).select("case_id", "gold", "candidate", "score", F.abs(F.col("len") - F.length("gold")).alias("off"))
 
 
 def physical_constraint_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks of the gold word among the candidates that fit."""
-    c, a, _ = _both(spark, sf)
-    fits = fusion.ranked(a.drop("rank").join(c.select("case_id", "gold"), "case_id").filter(_visible(1)).drop("gold"), ["case_id"])
-    return fusion.gold_ranks(fits, c).join(fits.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_fit")), "case_id", "left").select("case_id", "gold_rank", F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
+    c = cases(spark, sf)
+    fits = fusion.ranked(_fitting(spark, sf, 1), ["case_id"])
+    found = fits.groupBy("case_id").agg(F.min(F.when(F.col("candidate") == F.col("gold"), F.col("rank"))).alias("gold_rank"), F.count(F.lit(1)).alias("n_fit"))
+    return c.select("case_id").join(found, "case_id", "left").select("case_id", "gold_rank", F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
 
 
 def tolerance_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    c, a, _ = _both(spark, sf)
-    out = None
-    for t in (0, 1, 2):
-        fits = fusion.ranked(a.drop("rank").join(c.select("case_id", "gold"), "case_id").filter(_visible(t)).drop("gold"), ["case_id"])
-        part = metrics.summary(fusion.gold_ranks(fits, c).withColumn("tolerance", F.lit(t)), ["tolerance"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Summary at each tolerance; a candidate counts at every tolerance it is within."""
+    fits = _fitting(spark, sf, 2).withColumn("tolerance", F.explode(F.sequence("off", F.lit(2))))
+    found = fusion.ranked(fits, ["tolerance", "case_id"]).filter("candidate = gold").groupBy("tolerance", "case_id").agg(F.min("rank").alias("gold_rank"))
+    frame = cases(spark, sf).select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tolerance"))
+    return metrics.summary(frame.join(found, ["tolerance", "case_id"], "left"), ["tolerance"])
 
 
 def vocabulary_constraint_join(spark: SparkSession, sf: str) -> DataFrame:

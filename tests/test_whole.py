@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 
 from scriptmend.operators import retrieval
 from scriptmend.plans import catalog
+from scriptmend.plans.base import BIGRAMS, CASES, DOCS, ITEMS, hits
 
 from .conftest import SMALL
+from .test_catalog import plain
+
+
+def same_as(spark, name, sql):
+    """Asserts that a query's rows are those of ``sql``; returns them."""
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = catalog.queries()[name](spark, SMALL)
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    want = sorted((tuple(map(plain, r)) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(map(plain, r)) for r in df.select(names).collect()), key=repr) == want
+    return [dict(zip(names, r, strict=True)) for r in want]
 
 
 def brute_top(ids, x, asked, k=5):
@@ -39,3 +56,23 @@ def test_cosine_blocks_and_ties(spark):
     few = df.filter("vec_id < 3")
     assert retrieval.cosine_top(few, few).count() == few.count() * (few.count() - 1)
     assert retrieval.cosine_top(df.limit(0), df).count() == 0
+
+
+# the model's whole list of each word, where RANKING keeps the 20 best
+FITS = f"""WITH {DOCS}, {ITEMS}, {CASES}, {BIGRAMS}, n0 AS (SELECT w1, w2 AS candidate, count(*) AS n FROM bigrams WHERE w1 IN (SELECT lw FROM cases) GROUP BY ALL),
+n1 AS (SELECT w1, candidate, round(ln(n / sum(n) OVER (PARTITION BY w1)), 6) AS score FROM n0),
+f AS (SELECT t AS tolerance, case_id, candidate, gold, row_number() OVER (PARTITION BY t, case_id ORDER BY score DESC, candidate) - 1 AS rank FROM cases JOIN n1 ON lw = w1, (SELECT unnest([0, 1, 2]) AS t)
+WHERE left(candidate, 1) = left(gold, 1) AND right(candidate, 1) = right(gold, 1) AND abs(length(candidate) - length(gold)) <= t)"""
+
+
+def test_constraint_sees_the_whole_list(spark):
+    rows = same_as(spark, "physical_constraint_filter", f"{FITS}, g AS (SELECT case_id, min(rank) FILTER (candidate = gold) AS gold_rank, count(*) AS n FROM f WHERE tolerance = 1 GROUP BY case_id) SELECT case_id, gold_rank, coalesce(n, 0) AS n_fit FROM cases LEFT JOIN g USING (case_id)")
+    cut = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        cut.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    before = cut.execute(catalog.oracle_sql()["physical_constraint_filter"]).fetchdf()
+    assert sum(r["gold_rank"] is not None for r in rows) > before.gold_rank.notna().sum()
+
+
+def test_tolerances_see_the_whole_list(spark):
+    same_as(spark, "tolerance_sensitivity", f"{FITS}, h AS (SELECT tolerance, case_id, rank AS gold_rank FROM f WHERE candidate = gold), z AS (SELECT tolerance, case_id FROM (SELECT unnest([0, 1, 2]) AS tolerance), cases) SELECT tolerance, count(*) AS n, {hits()}, round(100.0 * count(gold_rank) / count(*), 4) AS coverage, median(gold_rank) AS median_rank, round(avg(coalesce(1.0 / (gold_rank + 1), 0)), 6) AS mrr FROM z LEFT JOIN h USING (tolerance, case_id) GROUP BY tolerance")
