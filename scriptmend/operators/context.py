@@ -63,9 +63,15 @@ def parallel_lookup(cases: DataFrame, index: DataFrame, keys: Sequence[str], exc
     return by.withColumn("_r", best).filter("_r = 1").select(*keys, "gold", "w", F.col("target").alias("predicted"), "support", "n_groups")
 
 
-def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", most: int = 2) -> DataFrame:
-    """keys, pos, target, l, r, key: every context key of up to ``most`` words a side of every position."""
+def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", most: int = 2, bound: str | None = None) -> DataFrame:
+    """keys, pos, target, l, r, key: every context key of up to ``most`` words a side of every position.
+
+    ``bound`` is an array of booleans, whether a word is bound to the next: then only keys whose words all are.
+    """
     ws = F.col(words_col)
+    places = F.sequence(F.lit(0), F.size(ws) - 1)
+    if bound:
+        places = F.filter(places, lambda i: F.coalesce(F.get(bound, i - 1), F.lit(False)) | F.get(bound, i))
 
     def at(i: Column) -> Column:
         out = []
@@ -73,10 +79,12 @@ def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws",
             for b in range(most + 1):
                 if a + b:
                     fits = (i >= a) & (i + b < F.size(ws))
+                    for d in range(-a, b) if bound else ():
+                        fits = fits & F.get(bound, i + d)
                     out.append(F.when(fits, F.struct(i.alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.xxhash64(F.lit(a * 10 + b), *(F.get(ws, i + d) for d in [*range(-a, 0), *range(1, b + 1)])).alias("key"))))
         return F.array(*out)
 
-    every = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), at)), lambda k: k.isNotNull())
+    every = F.filter(F.flatten(F.transform(places, at)), lambda k: k.isNotNull())
     df = docs.filter(F.size(ws) > 0).select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.*")
     return df
 
@@ -92,6 +100,25 @@ def two_sided_index(docs: DataFrame, wanted: DataFrame, words_col: str = "ws") -
     return spelled_pairs(hits).groupBy("lctx", "rctx", "a", "b", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def commonest_contexts(docs: DataFrame, pairs: DataFrame, k: int, words_col: str = "ws", named: int = 4096) -> DataFrame:
+    """lctx, rctx, target, n: the ``k`` commonest entries of the whole two-sided index, all positions and sizes.
+
+    ``pairs`` has w1, w2 of all neighbours. No entry is commoner than the rarest pair of neighbours in it, and
+    each pair is two entries by itself, so an entry with a pair rarer than the (k / 2)-th commonest is not among
+    the ``k`` and need not be made. Where more than ``named`` pairs are that common, every entry is made.
+    """
+    half = -(-k // 2)
+    best = pairs.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(named + half).collect()
+    least = best[half - 1]["n"] if len(best) >= half else 0
+    common = [f"{r.w1} {r.w2}" for r in best if r["n"] >= least]
+    rows, bound = docs.select(words_col), None
+    if len(common) <= named:
+        bound = "bound"
+        rows = rows.withColumn(bound, F.transform(words_col, lambda w, i: F.coalesce(F.concat(w, F.lit(" "), F.get(words_col, i + 1)).isin(common), F.lit(False))))
+    index = spelled_pairs(two_sided_pairs(rows, [], words_col, bound=bound), words_col).groupBy("lctx", "rctx", "target").agg(F.count(F.lit(1)).alias("n"))
+    return index.orderBy(F.desc("n"), "lctx", "rctx", "target").limit(k)
+
+
 def retrieval_scores(case_keys: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, candidate, score = max(span + ln(1 + n)), span, hits over the matching keys."""
     met = case_keys.join(index, ["lctx", "rctx", "a", "b"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 
-from scriptmend.operators import retrieval
+from scriptmend.operators import candidates, context, retrieval
 from scriptmend.plans import catalog
 from scriptmend.plans.base import BIGRAMS, CASES, DOCS, ITEMS, hits
 
@@ -76,3 +78,20 @@ def test_constraint_sees_the_whole_list(spark):
 
 def test_tolerances_see_the_whole_list(spark):
     same_as(spark, "tolerance_sensitivity", f"{FITS}, h AS (SELECT tolerance, case_id, rank AS gold_rank FROM f WHERE candidate = gold), z AS (SELECT tolerance, case_id FROM (SELECT unnest([0, 1, 2]) AS tolerance), cases) SELECT tolerance, count(*) AS n, {hits()}, round(100.0 * count(gold_rank) / count(*), 4) AS coverage, median(gold_rank) AS median_rank, round(avg(coalesce(1.0 / (gold_rank + 1), 0)), 6) AS mrr FROM z LEFT JOIN h USING (tolerance, case_id) GROUP BY tolerance")
+
+
+def test_context_index_is_whole(spark):
+    sides = " UNION ALL ".join(f"SELECT array_to_string(ws[i + 1 - {a}:i], ' ') AS lctx, array_to_string(ws[i + 2:i + 1 + {b}], ' ') AS rctx, ws[i + 1] AS target FROM (SELECT ws, unnest(range({a}, len(ws) - {b})) AS i FROM docs WHERE len(ws) > {a + b})" for a in range(3) for b in range(3) if a + b)
+    same_as(spark, "context_index_two_sided", f"WITH {DOCS}, k AS ({sides}) SELECT lctx, rctx, target, count(*) AS n FROM k GROUP BY ALL ORDER BY n DESC, lctx, rctx, target LIMIT 200")
+
+
+def test_commonest_contexts(spark):
+    words = np.random.default_rng(2).choice(list("abcdef"), size=(40, 30), p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05]).tolist()
+    words += [["x", "y", "z", "x", "y"]] * 60 + [[], ["a"], ["q", "r"]]
+    df = spark.createDataFrame([(w,) for w in words], "ws array<string>")
+    n = Counter((" ".join(w[i - a : i]), " ".join(w[i + 1 : i + 1 + b]), w[i]) for w in words for i in range(len(w)) for a in range(3) for b in range(3) if a + b and i >= a and i + b < len(w))
+    want = sorted(n.items(), key=lambda e: (-e[1], e[0]))
+    assert any(len(" ".join(e).split()) > 3 for e, _ in want[:40])
+    for k, named in ((40, 4096), (40, 3), (5, 4096), (100_000, 4096)):
+        got = [((r.lctx, r.rctx, r.target), r.n) for r in context.commonest_contexts(df, candidates.bigrams(df), k, named=named).collect()]
+        assert got == want[:k]
