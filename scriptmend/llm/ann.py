@@ -2,8 +2,9 @@
 
 A vector is cut in two halves, each quantised by a codebook of its own (k-means on a bounded sample, at most
 ``sample`` rows by hash order); the pair of centroids is its cell. A query walks the pairs in order of
-summed distance, by a heap, until the cells it has passed hold ``visit`` of all entries; the entries of those
-cells are then ranked by exact distance in double precision.
+summed distance, by a heap, until the cells it has passed hold ``visit`` of all entries and ``k`` besides the
+query's own; the entries of those cells are then ranked by exact distance in double precision. A table of up to
+``k`` + 1 different vectors is searched whole.
 
 Rows of equal vectors are folded first: of each vector only the ``k`` + 1 smallest ids can appear in any
 result, so that a vector that fills a third of the table costs one entry. A cell of many entries is cut into
@@ -90,15 +91,15 @@ def _cells(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarra
         yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
 
-def _probes(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, visit: float, block: int) -> Iterator[pa.RecordBatch]:
-    half = books[0].shape[1]
+def _probes(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, visit: float, block: int, least: int) -> Iterator[pa.RecordBatch]:
+    half, wanted = books[0].shape[1], max(visit * counts.sum(), least)
     for batch in batches:
         x = _matrix(batch.column("v"))
         rows, cells, blocks = [], [], []
         if len(x):
             first, second = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
             for r in range(len(x)):
-                for i, j in walk(first[r], second[r], counts, visit * counts.sum()):
+                for i, j in walk(first[r], second[r], counts, wanted):
                     n = -(-int(counts[i, j]) // block)
                     rows += [r] * n
                     cells += [i * len(books[1]) + j] * n
@@ -153,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     placed = entries.join(F.broadcast(spark.createDataFrame([(int(c), int(-(-n // block))) for c, n in enumerate(counts.ravel()) if n], "cell int, blocks int")), "cell")
     placed = placed.select("ids", "v", "cell", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("blocks")).cast("int").alias("block"))
     asked = usable(queries, id_col, vector_col).filter(fit).dropDuplicates(["vec_id"])
-    probes = asked.mapInArrow(lambda it: _probes(it, books, counts, visit, block), "query_id long, q array<double>, cell int, block int")
+    probes = asked.mapInArrow(lambda it: _probes(it, books, counts, visit, block, k + 1), "query_id long, q array<double>, cell int, block int")
     near = probes.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block")).applyInArrow(lambda q, e: _best(q, e, k), out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
