@@ -48,7 +48,9 @@ def base_spans(text: str) -> list[S.Span]:
 # --- lexing -------------------------------------------------------------------------------------------
 
 _OPERATOR = re.compile(r":=|=>|==|!=|<=|>=|[:=]")
-_NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]{0,63})\1|\[\s*["']([A-Za-z_][\w.\-]{0,63})["']\s*\]|([A-Za-z_][\w.\-]{0,63}))(?:\s*:\s*[A-Za-z_][\w\[\]]{0,31})?[ \t]*\Z""")
+_NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]*)\1|\[\s*["']([A-Za-z_][\w.\-]*)["']\s*\]|([A-Za-z_][\w.\-]*))(?:\s*:\s*[A-Za-z_][\w\[\]]{0,31})?[ \t]*\Z""")
+#: The same, read backwards from the operator, for names that begin before ``_REACH``.
+_NAME_BACKWARDS = re.compile(r"""[ \t]*(?:[\w\[\]]{0,31}[A-Za-z_]\s*:\s*)?(?:(["'])([\w.\- ]*[A-Za-z_])\1|\]\s*["']([\w.\-]*[A-Za-z_])["']\s*\[|([\w.\-]*[A-Za-z_]))""")
 _LITERAL = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""", re.I)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.(?!\w))[ \t]*")
 _BARE = re.compile(r"[ \t]*([^\s\"'`,;(){}\[\]<>]+)")
@@ -62,13 +64,20 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str, bo
     The name may be quoted (JSON), subscripted, annotated or bare; the value is a run of quoted literals
     joined by ``+``, or one bare word (.env, YAML, INI).
     """
+    before = last = 0
     for op in _OPERATOR.finditer(text):
+        # a name holds no operator, its annotation one: what could be a name begins after the last but one
+        since, before, last = before, last, op.end()
         if len(op[0]) == 2 and op[0] not in (":=", "=>"):
             continue
-        named = _NAME_BEFORE.search(text[max(0, op.start() - _REACH) : op.start()])
-        if not named:
+        far = _NAME_BACKWARDS.match(text[since : op.start()][::-1]) if op.start() - since > _REACH else None
+        if far and far.end() > _REACH:
+            name = (far[2] or far[3] or far[4])[::-1]
+        elif named := _NAME_BEFORE.search(text[max(0, op.start() - _REACH) : op.start()]):
+            name = named[2] or named[3] or named[4]
+        else:
             continue
-        name, at = named[2] or named[3] or named[4], op.end()
+        at = op.end()
         parts: list[tuple[int, int]] = []
         while m := _LITERAL.match(text, at):
             group = next(g for g in (1, 2, 3) if m[g] is not None)
@@ -104,7 +113,7 @@ def entropy(value: str) -> float:
 
 def value_score(value: str) -> float:
     """0 to 1: how much a literal looks like key material rather than a word, a path or a placeholder."""
-    if len(value) < 8 or len(value) > 4096 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
     return min(1.0, entropy(value) / 4.0) * (0.4 + 0.2 * kinds) if kinds >= 2 or any(c.isdigit() for c in value) else 0.2
