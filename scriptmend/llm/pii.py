@@ -2,11 +2,12 @@
 
 Base spans come from four patterns. The method adds what they miss (numbers without a country code,
 addresses with the sign spelled out): a field with the tags below is trained on a small labelled table and
-decoded by Viterbi over whole lines, many at a time in numpy. A word's features depend on its shape and on
+decoded by Viterbi over windows of lines, many at a time in numpy: the words near one with a digit, an "at" or a
+"dot"; windows that touch are one, and words outside are outside spans. A word's features depend on its shape and on
 whether it is a cue ("call", "at", "dot"); emissions are sums over the word and its two neighbours.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated rows; extra columns
-are not read; texts and lines of any length are decoded whole.
+are not read; texts, lines and addresses may have any length.
 """
 
 from __future__ import annotations
@@ -299,7 +300,8 @@ class Decoder:
     """A field, with tables of its emissions by word code, bounded and emptied when full.
 
     The chains are the stretches of a line within ``REACH`` words of a word that can belong to a span at
-    all (one with a digit, or an "at" in any spelling); every other word is outside.
+    all (one with a digit, or an "at" or a "dot" in any spelling), so that they grow along an address; every
+    other word is outside. Emissions at the ends of a stretch see the words beyond it.
     """
 
     CELLS, WORDS, REACH = 60_000, 400_000, 6
@@ -322,7 +324,7 @@ class Decoder:
             if at == len(self.table):
                 self.table, self.worth = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.worth))
             self.table[at] = self.field.row(s)
-            self.worth[at] = "9" in s or s in ("cue-at", "marked-at")
+            self.worth[at] = "9" in s or s in ("cue-at", "marked-at", "cue-dot", "marked-dot")
         self.codes[word] = at
         return at
 
@@ -358,8 +360,10 @@ class Decoder:
             rows = begins[part] + np.arange(steps)[:, None]
             inside = np.arange(steps)[:, None] < lengths
             here = np.where(inside, flat[np.minimum(rows, len(flat) - 1)], 0)
-            none = np.zeros((1, len(part)), np.int64)
-            emissions = self.table[here, 0] + self.table[np.concatenate([none, here[:-1]]), 1] + self.table[np.concatenate([here[1:], none]), 2]
+            line_end = stops[owner[part]]
+            left = np.where(inside & (rows > line_end - sizes[owner[part]]), flat[np.clip(rows - 1, 0, len(flat) - 1)], 0)
+            right = np.where(inside & (rows + 1 < line_end), flat[np.minimum(rows + 1, len(flat) - 1)], 0)
+            emissions = self.table[here, 0] + self.table[left, 1] + self.table[right, 2]
             tags = viterbi(np.ascontiguousarray(emissions.transpose(0, 2, 1)), lengths, self.moves)
             for row in np.flatnonzero(tags.any(1)):
                 line = int(owner[part[row]])
@@ -397,7 +401,7 @@ def crf_spans(text: str, lines: list[str], starts: list[int], tagged: list[tuple
 def _whole(kind: str, shapes: list[str]) -> bool:
     """Whether a tagged run has the parts of its kind: an address has a sign and ends in a domain, a number enough digits."""
     if kind == "email":
-        return 3 <= len(shapes) <= 9 and any(s in ("marked-at", "cue-at") for s in shapes[1:-1]) and (shapes[-1].startswith("tld") or "." in shapes[-1][:-1])
+        return len(shapes) >= 3 and any(s in ("marked-at", "cue-at") for s in shapes[1:-1]) and (shapes[-1].startswith("tld") or "." in shapes[-1][:-1])
     digits = sum(s.count("9") for s in shapes)
     return digits == 9 if kind == "id" else 7 <= digits <= 15
 
