@@ -1,15 +1,17 @@
 """BPE encoding and decoding of whole texts (see ``bpe_engine`` for the merging).
 
-Words seen before are looked up in a cache of their worker, bounded by ``cache_words`` and emptied when
-full; the others of a text batch are merged together. Both operators are maps over the scan.
+Words seen before are looked up in a cache of their worker, bounded by ``cache_words`` and ``CACHE_BYTES`` and
+emptied when full; the others of a lot of texts are merged together. The operators are maps over the scan.
 
 Defined results: a null text is encoded as an empty one, to no ids; null ids decode to an empty text;
 strings of special tokens inside a text become those tokens, as the library does by default; repeated rows
-give repeated rows; other columns are kept as they are, and an output column replaces one of the same name.
+give repeated rows; an empty table gives an empty result; a text of any length is encoded whole, in a lot of its own if it
+is long; ties between merges go to the leftmost; other columns are kept as they are, and an output column replaces one of the same name.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,46 +24,54 @@ from pyspark.sql import types as T
 
 from .bpe_engine import Engine, engine
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_BYTES = 400_000, 48 << 20
 
 
 class Encoder:
-    """An engine with the bounded cache of its worker: word -> code, code -> ids."""
+    """An engine with the bounded cache of its worker: word -> code; the ids of all codes lie in one array."""
 
-    def __init__(self, eng: Engine, cache_words: int = CACHE_WORDS) -> None:
-        self.eng, self.most = eng, cache_words
+    def __init__(self, eng: Engine, cache_words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES) -> None:
+        self.eng, self.most, self.most_bytes = eng, cache_words, cache_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.codes: dict[str | int, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids = np.empty(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+        self.size = 0
 
     def encode(self, text: str) -> list[int]:
         pieces = self.eng.pieces(text)
-        codes = self.codes
-        try:
-            return list(chain.from_iterable([self.ids[codes[p]] for p in pieces]))
-        except KeyError:
-            self.learn(pieces)
-            codes = self.codes
-            return list(chain.from_iterable([self.ids[codes[p]] for p in pieces]))
-
-    def learn(self, pieces: list[str | int]) -> None:
-        new = list({p for p in pieces if p not in self.codes})
-        if len(self.codes) + len(new) > self.most:
+        self.learn(set(pieces))
+        return self.row(pieces).tolist()
+
+    def row(self, pieces: list[str | int]) -> np.ndarray:
+        """The ids of known pieces, in order."""
+        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        starts = self.ends[codes]
+        sizes = self.ends[codes + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def learn(self, pieces: set[str | int]) -> None:
+        """Merges the pieces that are not known yet; a full cache is emptied first."""
+        new = [p for p in pieces if p not in self.codes]
+        if new and (len(self.codes) + len(new) > self.most or self.size > self.most_bytes):
             self._clear()
-            new = list(set(pieces))
+            new = list(pieces)
         words = [p for p in new if isinstance(p, str)]
-        for word, ids in zip(words, self.eng.ids_of(words), strict=True):
-            self.codes[word] = len(self.ids)
-            self.ids.append(ids.tolist())
-        for special in new:
-            if isinstance(special, int):
-                self.codes[special] = len(self.ids)
-                self.ids.append([special])
-
-
-def lots(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+        specials = [p for p in new if isinstance(p, int)]
+        made = [*self.eng.ids_of(words), *(np.array([p]) for p in specials)]
+        if made:
+            for k, p in enumerate([*words, *specials], len(self.codes)):
+                self.codes[p] = k
+            self.ids = np.concatenate([self.ids, *made]).astype(np.int32)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
+            # a key with its place in the table, and what its ids take
+            self.size += sum(map(len, words)) + 180 * len(new) + 4 * sum(map(len, made))
+
+
+def lots(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
     """Neighbouring texts of about so many characters together."""
     part: list[str] = []
     size = 0
@@ -75,21 +85,21 @@ def lots(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
         yield part
 
 
+def encoded(texts: list[str], coder: Encoder) -> Iterator[np.ndarray]:
+    """The ids of each text; words that are new to a lot of texts are merged together."""
+    for part in lots(texts):
+        pieces = [coder.eng.pieces(t) for t in part]
+        coder.learn(set(chain.from_iterable(pieces)))
+        for own in pieces:
+            yield coder.row(own)
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text_col: str, ids_col: str, cache_words: int) -> Iterator[pa.RecordBatch]:
     coder = Encoder(engine(path), cache_words)
     for batch in batches:
-        texts = [x or "" for x in batch.column(text_col).to_pylist()]
-        lengths, flat = [0], []
-        for part in lots(texts):
-            pieces = [coder.eng.pieces(t) for t in part]
-            coder.learn(list(set(chain.from_iterable(pieces))))
-            codes, ids = coder.codes, coder.ids
-            for own in pieces:
-                row = np.fromiter(chain.from_iterable([ids[codes[p]] for p in own]), np.int32)
-                flat.append(row)
-                lengths.append(len(row))
-        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32), pa.int32())
-        column = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
+        rows = list(encoded([x or "" for x in batch.column(text_col).to_pylist()], coder))
+        values = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+        column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
         names = [n for n in batch.schema.names if n != ids_col]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, ids_col])
 
@@ -122,12 +132,25 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     return kept.mapInArrow(lambda it: decode_batches(it, path, ids_col, out_col), schema)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    ids = decode(encode(docs, path), path)
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch], path: str, cache_words: int) -> Iterator[pa.RecordBatch]:
+    eng = engine(path)
+    coder = Encoder(eng, cache_words)
+    digits = np.array([str(i) for i in range(len(eng.tokens))], object)
+    tokens = np.array(eng.tokens, object)
+    digest = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
+        counts, ids, decoded = [], [], []
+        for row in encoded([x or "" for x in batch.column(1).to_pylist()], coder):
+            counts.append(len(row))
+            ids.append(digest(digits[row]))
+            decoded.append(digest(tokens[row]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(docs: DataFrame, path: str, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded and decoded in one map, of which the ids don't come back."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(lambda it: _digest_batches(it, path, cache_words), _DIGESTS)
