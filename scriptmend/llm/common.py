@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,25 +16,61 @@ OWN = "__sm_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, a local session gets one of its own; a cluster has to name one."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="scriptmend-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, is removed when the session ends."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, is removed by ``forget`` or when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sm_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that ``materialize`` made and no plan reads any more."""
+    if path := getattr(df, "_sm_path", None):
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Table:
+    """A table of several written parts."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.schema, self.parts = spark, schema, []
+
+    def add(self, part: DataFrame) -> DataFrame:
+        """Takes in a table that ``materialize`` made, and returns it."""
+        self.parts.append(part._sm_path)
+        return part
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], self.schema)
+
+
+def tokenizer_path() -> str:
+    """The vocabulary that the queries and the pipeline take by default."""
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

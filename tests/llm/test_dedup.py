@@ -123,11 +123,67 @@ def test_classes(spark):
     assert n == len(rows)
     got = {r.doc_id: r.class_id for r in nd.classes(df).collect()}
     assert got == brute_classes(rows, nd.Weights(counts, n))
-    kept = [r.doc_id for r in nd.keep_one(df.union(df.limit(3))).collect()]
-    assert sorted(kept) == sorted(set(got.values()))
+    # repeated rows count in the document frequencies
+    more = spark.createDataFrame([*df.collect(), *df.limit(3).collect()], df.schema)
+    again = {r.doc_id: r.class_id for r in nd.classes(more).collect()}
+    counts, n = nd.document_frequencies(nd.texts(more))
+    assert n == len(rows) + 3 and again == brute_classes(rows, nd.Weights(counts, n))
+    assert sorted(r.doc_id for r in nd.keep_one(more).collect()) == sorted(set(again.values()))
     assert nd.classes(df.limit(0)).count() == 0
 
 
+def test_hot_line_and_large_group(spark):
+    """A line that most texts repeat, a large group of near copies with texts that hang by one link, and exact copies."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    line = " ".join(word() for _ in range(12))
+    base = [word() for _ in range(80)]
+    rows = [(i, f"{line}\n" * (i % 9 + 1) + " ".join(word() for _ in range(rng.randint(5, 60)))) for i in range(220)]
+    for i in range(180):
+        own = list(base)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = word()
+        rows.append((1000 + i, " ".join(own)))
+    rows += [(3000 + i, " ".join(base)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    counts, n = nd.document_frequencies(nd.texts(df))
+    want = brute_classes(rows, nd.Weights(counts, n))
+    found = nd.classes(df).collect()
+    assert {r.doc_id: r.class_id for r in found} == want
+    assert all(r.rep_id == 1000 + min(i for i in range(180) if rows[220 + i][1] == rows[-1][1]) if r.doc_id >= 3000 and any(x[1] == rows[-1][1] for x in rows[220:400]) else True for r in found)
+    assert all((r.n_links > 0) == (sum(w == want[r.doc_id] for i, w in want.items() if dict(rows)[i] != dict(rows)[r.doc_id]) > 0) for r in found)
+
+
+def test_long_text_and_clashing_ids(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:60_000], "new", *words[60_000:]])), (3, "a b c d e f g"), (3, "h i j k l m n"), (4, "h i j k l m n"), (None, "a b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id) for r in nd.classes(df).collect())
+    assert got == [(0, None), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
+    assert nd.keep_one(df).count() == 3
+
+
+def test_recall_on_documents(spark):
+    """Links of all pairs of the 0.01 table that classes join: at least 0.9, by inverted lists of all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    counts, n = nd.document_frequencies(nd.texts(docs))
+    weights = nd.Weights(counts, n)
+    ids = sorted(rows)
+    vectors = [(g, weights.of(g, t)) for _, g, t in nd.shingles([rows[i] for i in ids])]
+    posts: dict[int, list[int]] = {}
+    for k, (g, _) in enumerate(vectors):
+        for x in g.tolist():
+            posts.setdefault(x, []).append(k)
+    pairs = {(a, b) for p in posts.values() for j, b in enumerate(p) for a in p[:j]}
+    links = [(ids[a], ids[b]) for a, b in pairs if rows[ids[a]] != rows[ids[b]] and nd.similarity(vectors[a], vectors[b]) >= nd.SIMILARITY]
+    cls = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    recall = sum(cls[a] == cls[b] for a, b in links) / len(links)
+    print("links", len(links), "recall", recall)
+    assert links and recall >= 0.9
+
+
 def test_small_documents_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
