@@ -4,8 +4,10 @@ Base spans come from three fixed patterns. The method adds more: source and conf
 into (target name, literal) pairs, names bound to a literal are propagated as constants into later
 assignments, and each literal is scored by how sensitive its target name is and by how random it looks.
 
-Defined results: a null text is empty; an empty text has no spans; repeated rows give repeated rows;
-extra columns of the input are not read; a text of any length is scanned whole.
+Defined results: a null text is empty; an empty text has no spans; repeated rows give repeated rows; an empty table
+gives an empty result; extra columns of the input are not read; a text, name or literal of any length is scanned
+whole, in time in proportion to it; of new spans one that touches a base span, or an earlier one, goes (of two that
+begin together the shorter).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,18 +55,20 @@ _NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]*)\1|\[\s*["']([A-Za-z_
 _NAME_BACKWARDS = re.compile(r"""[ \t]*(?:[\w\[\]]{0,31}[A-Za-z_]\s*:\s*)?(?:(["'])([\w.\- ]*[A-Za-z_])\1|\]\s*["']([\w.\-]*[A-Za-z_])["']\s*\[|([\w.\-]*[A-Za-z_]))""")
 _LITERAL = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""", re.I)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.(?!\w))[ \t]*")
-_BARE = re.compile(r"[ \t]*([^\s\"'`,;(){}\[\]<>]+)")
-_IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+_INDENT = re.compile(r"[ \t]*")
+_IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*")
 _REACH = 140
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str, bool]]:
-    """(target name, literal spans, value, quoted) of each ``name op value`` in the text, in order.
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], bool]]:
+    """(target name, literal spans, quoted) of each ``name op value`` in the text, in order.
 
     The name may be quoted (JSON), subscripted, annotated or bare; the value is a run of quoted literals
-    joined by ``+``, or one bare word (.env, YAML, INI).
+    joined by ``+``, or one bare word (.env, YAML, INI). Operators inside a bare word have what follows them in it
+    as their value, so that the end of a word is looked for once.
     """
-    before = last = 0
+    before = last = word_end = 0
     for op in _OPERATOR.finditer(text):
         # a name holds no operator, its annotation one: what could be a name begins after the last but one
         since, before, last = before, last, op.end()
@@ -73,7 +77,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str, bo
         far = _NAME_BACKWARDS.match(text[since : op.start()][::-1]) if op.start() - since > _REACH else None
         if far and far.end() > _REACH:
             name = (far[2] or far[3] or far[4])[::-1]
-        elif named := _NAME_BEFORE.search(text[max(0, op.start() - _REACH) : op.start()]):
+        elif named := _NAME_BEFORE.search(text[max(since, op.start() - _REACH) : op.start()]):
             name = named[2] or named[3] or named[4]
         else:
             continue
@@ -87,9 +91,14 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str, bo
                 break
             at = plus.end()
         if parts:
-            yield name, parts, "".join(text[a:b] for a, b in parts), True
-        elif (m := _BARE.match(text, at)) and m[1][0] not in ":=/":
-            yield name, [m.span(1)], m[1], False
+            yield name, parts, True
+            continue
+        at = _INDENT.match(text, at).end()
+        if at >= word_end:
+            word = _BARE.match(text, at)
+            word_end = word.end() if word else at
+        if at < word_end and text[at] not in ":=/":
+            yield name, [(at, word_end)], False
 
 
 #: Weight of a part of a target name.
@@ -99,6 +108,9 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|.*(?:example|changeme|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined).*)\Z")
 
 
+_MARKED = re.compile(r"(?i)example|changeme|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined")
+
+
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PART.findall(name)]
     joined = "".join(parts)
@@ -106,35 +118,79 @@ def name_score(name: str) -> float:
     return max(score, 1.0) if joined.endswith(("apikey", "accesskey", "privatekey", "secretkey")) else score
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+def entropy(counts: Iterable[int], n: int) -> float:
+    return -sum(c / n * math.log2(c / n) for c in counts if c) if n else 0.0
+
+
+def _worth(counts: dict[str, int], n: int) -> float:
+    """0 to 1: how much a literal of these characters looks like key material rather than a word or a path."""
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    return min(1.0, entropy(counts.values(), n) / 4.0) * (0.4 + 0.2 * kinds) if kinds >= 2 or any(c.isdigit() for c in counts) else 0.2
 
 
 def value_score(value: str) -> float:
     """0 to 1: how much a literal looks like key material rather than a word, a path or a placeholder."""
     if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy(value) / 4.0) * (0.4 + 0.2 * kinds) if kinds >= 2 or any(c.isdigit() for c in value) else 0.2
+    return _worth(Counter(value), len(value))
+
+
+class _Scores:
+    """Scores of literals of one text. Those of a bare word's tails are made together, from its end: characters are counted once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.of, self.tails = text, {}, {}
+
+    def score(self, parts: list[tuple[int, int]], quoted: bool) -> float:
+        key = tuple(parts)
+        if key not in self.of:
+            a, b = parts[0]
+            if quoted or b - a < 256:
+                self.of[key] = value_score("".join(self.text[a:b] for a, b in parts))
+            else:
+                if b not in self.tails:
+                    self.tails[b] = self._tails(a, b)
+                self.of[key] = self.tails[b][a]
+        return self.of[key]
+
+    def _tails(self, a: int, b: int) -> dict[int, float]:
+        """Scores of text[k:b] for k = a and every k after an operator in text[a:b]."""
+        text = self.text
+        starts = sorted({a, *(_INDENT.match(text, op.end()).end() for op in _OPERATOR.finditer(text, a, b))}, reverse=True)
+        named = [m.start() for m in _MARKED.finditer(text, a, b)]
+        out, counts, end = {}, Counter(), b
+        for k in starts:
+            counts.update(text[k:end])
+            end = k
+            held = bool(named) and named[-1] >= k
+            same = len(counts) == 1 and next(iter(counts)) in "xX*."
+            out[k] = 0.0 if b - k < 8 or held or same or text[k] == "$" or text[k] == text[b - 1] == "%" else _worth(counts, b - k)
+        return out
 
 
 def lexed_spans(text: str, threshold: float = 1.2) -> list[S.Span]:
     """Literals whose target name and value score ``threshold`` or more together."""
     if ":" not in text and "=" not in text:
         return []
-    constants: dict[str, tuple[list[tuple[int, int]], str]] = {}
+    constants: dict[str, tuple[list[tuple[int, int]], bool]] = {}
     found: dict[tuple[int, int], S.Span] = {}
-    for name, parts, value, quoted in assignments(text):
-        known = None if quoted or not _IDENTIFIER.match(value) else constants.get(value)
-        if known:
-            parts, value = known
-        constants[name] = (parts, value)
+    scores = _Scores(text)
+    taken = 0
+    for name, parts, quoted in assignments(text):
+        if not quoted:
+            a, b = parts[0]
+            word = _IDENTIFIER.match(text, a, b)
+            if word and word.end() == b and (known := constants.get(text[a:b])):
+                parts, quoted = known
+        constants[name] = (parts, quoted)
         worth = name_score(name)
-        if worth >= 0.7 and (looks := value_score(value)) > 0.3 and worth + looks >= threshold:
+        # inside a bare word that is taken already nothing can be added
+        if worth >= 0.7 and (quoted or parts[0][0] >= taken) and (looks := scores.score(parts, quoted)) > 0.3 and worth + looks >= threshold:
             for a, b in parts:
                 if b > a:
                     found[a, b] = ("literal", a, b)
+            if not quoted:
+                taken = max(taken, parts[0][1])
     return sorted(found.values(), key=lambda s: s[1])
 
 
