@@ -2,12 +2,13 @@
 
 Base spans come from four patterns. The method adds what they miss (numbers without a country code,
 addresses with the sign spelled out): a field with the tags below is trained on a small labelled table and
-decoded by Viterbi over windows of lines, many at a time in numpy: the words near one with a digit, an "at" or a
-"dot"; windows that touch are one, and words outside are outside spans. A word's features depend on its shape and on
+decoded by Viterbi over whole lines, many at a time in numpy; lines without a digit, an "at" and a "dot" hold no span and
+are passed over. A word's features depend on its shape and on
 whether it is a cue ("call", "at", "dot"); emissions are sums over the word and its two neighbours.
 
-Defined results: a null text is empty and has no spans; repeated rows give repeated rows; extra columns
-are not read; texts, lines and addresses may have any length.
+Defined results: a null text is empty and has no spans; repeated rows give repeated rows; an empty table gives an
+empty result; extra columns are not read; texts, lines, words, numbers and addresses may have any length; of the
+field's spans one that touches a base span, or an earlier one, goes (of two that begin together the shorter).
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -63,7 +70,7 @@ def base_spans(text: str) -> list[S.Span]:
     if "@" in text:
         found += [("email", *s) for s in emails(text)]
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -97,9 +104,9 @@ def shape(word: str) -> str:
         return "marked-at"
     if low in ("(dot)", "[dot]", "{dot}"):
         return "marked-dot"
-    out = _RUN_OF_LETTERS.sub("x", word[:200])
+    out = _RUN_OF_LETTERS.sub("x", word)
     out = _RUN_OF_DIGITS.sub("9+", _ONE_DIGIT.sub("9", out))
-    return _RUN.sub(r"\1", _FOREIGN.sub("~", out))[:24]
+    return _RUN.sub(r"\1", _FOREIGN.sub("~", out))
 
 
 _RUN_OF_LETTERS, _ONE_DIGIT, _RUN_OF_DIGITS, _FOREIGN, _RUN = map(re.compile, (r"[^\W\d_]+", r"\d", r"9{5,}", r"[^\x00-\x7f]", r"([^9])\1+"))
@@ -175,6 +182,13 @@ def labelled_rows(n: int = 240, seed: int = 7) -> list[tuple[list[str], list[str
                 lambda: ([name, "at", host, "dot", tld + end], "email"),
                 lambda: ([name, "(at)", f"{host}.{tld}{end}"], "email"),
                 lambda: ([f"{digits(3)}-{digits(2)}-{digits(4)}{end}"], "id"),
+                lambda: (["0" + digits(2), digits(4), digits(4) + end], "phone"),
+                lambda: ([f"0{digits(3)}-{digits(3)}-{digits(4)}{end}"], "phone"),
+                lambda: ([f"0{digits(3)}", digits(rng.choice([6, 7])) + end], "phone"),
+                lambda: ([f"{name}.{host}", "at", f"{host}{name}", "dot", tld + end], "email"),
+                lambda: ([f"{name}{digits(2)}", "at", f"{host}.{tld}{end}"], "email"),
+                lambda: ([digits(9) + end], "cued id"),
+                lambda: ([digits(3), digits(2), digits(4) + end], "cued id"),
             ]
         )()
 
@@ -188,6 +202,10 @@ def labelled_rows(n: int = 240, seed: int = 7) -> list[tuple[list[str], list[str
             tags += ["O"] * len(plain)
             if rng.random() < 0.5:
                 span, kind = private()
+                if kind.startswith("cued"):
+                    words.append(rng.choice(["ssn", "SSN", "id", "ID", "passport"]) + rng.choice(["", ":"]))
+                    tags.append("O")
+                    kind = kind[5:]
                 words += span
                 tags += ["B-" + kind] + ["I-" + kind] * (len(span) - 1)
         rows.append((words, tags))
@@ -202,13 +220,16 @@ class Field:
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray) -> None:
         self.index, self.weights, self.moves = index, weights, moves
         self._rows: dict[str, np.ndarray] = {}
+        self._chars = 0
 
     def row(self, s: str) -> np.ndarray:
         """(place x tag) weights of a shape."""
         if s not in self._rows:
-            if len(self._rows) > 50_000:
+            if len(self._rows) > 50_000 or self._chars > 8_000_000:
                 self._rows.clear()
+                self._chars = 0
             known = [self.index[f] for f in features(s) if f in self.index]
+            self._chars += len(s)
             self._rows[s] = self.weights[known].sum(0) if known else np.zeros(self.weights.shape[1:])
         return self._rows[s]
 
@@ -299,12 +320,11 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
 class Decoder:
     """A field, with tables of its emissions by word code, bounded and emptied when full.
 
-    The chains are the stretches of a line within ``REACH`` words of a word that can belong to a span at
-    all (one with a digit, or an "at" or a "dot" in any spelling), so that they grow along an address; every
-    other word is outside. Emissions at the ends of a stretch see the words beyond it.
+    The chains are whole lines. A line without a word that can belong to a span at all (one with a digit, or an
+    "at" or a "dot" in any spelling) has none and is passed over.
     """
 
-    CELLS, WORDS, REACH = 60_000, 400_000, 6
+    CELLS, WORDS, CHARS = 60_000, 400_000, 16_000_000
 
     def __init__(self, field: Field) -> None:
         self.field, self.moves = field, field.moves.astype(np.float32)
@@ -313,6 +333,7 @@ class Decoder:
     def _clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.shapes: dict[str, int] = {"": 0}
+        self.chars = 0
         self.table = np.zeros((64, 3, len(TAGS)), np.float32)
         self.worth = np.zeros(64, bool)
 
@@ -325,12 +346,14 @@ class Decoder:
                 self.table, self.worth = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.worth))
             self.table[at] = self.field.row(s)
             self.worth[at] = "9" in s or s in ("cue-at", "marked-at", "cue-dot", "marked-dot")
+            self.chars += len(s)
         self.codes[word] = at
+        self.chars += len(word)
         return at
 
     def lines(self, lines: list[list[str]]) -> dict[int, np.ndarray]:
         """Line -> tags, for the lines that hold any tag but O."""
-        if len(self.codes) > self.WORDS:
+        if len(self.codes) > self.WORDS or self.chars > self.CHARS:
             self._clear()
         codes, code = self.codes, self._code
         coded = [codes[w] if w in codes else code(w) for words in lines for w in words]
@@ -342,12 +365,8 @@ class Decoder:
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         stops = np.cumsum(sizes)
         line_of = np.searchsorted(stops, hits, side="right")
-        begins = np.maximum(hits - self.REACH, stops[line_of] - sizes[line_of])
-        ends = np.minimum(hits + self.REACH + 1, stops[line_of])
-        fresh = np.append(True, (begins[1:] > ends[:-1]) | (line_of[1:] != line_of[:-1]))
-        begins, owner = begins[fresh], line_of[fresh]
-        ends = ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(ends) - 1)]
-        lengths_all = ends - begins
+        owner = np.unique(line_of)
+        begins, lengths_all = stops[owner] - sizes[owner], sizes[owner]
         order = np.argsort(lengths_all, kind="stable")
         at = 0
         while at < len(order):
@@ -392,17 +411,16 @@ def crf_spans(text: str, lines: list[str], starts: list[int], tagged: list[tuple
             a, b = starts[line] + words[t][0], starts[line] + words[end - 1][1]
             while b > a and text[b - 1] in ".,;:!?\"'":
                 b -= 1
-            if _whole(name[2:], [shape(lines[line][x:y]) for x, y in words[t:end]]):
+            if _whole(name[2:], [shape(lines[line][x:y]) for x, y in words[t:end]], len(_DIGIT.findall(text, a, b))):
                 found.append((name[2:], a, b))
             t = end
     return found
 
 
-def _whole(kind: str, shapes: list[str]) -> bool:
+def _whole(kind: str, shapes: list[str], digits: int) -> bool:
     """Whether a tagged run has the parts of its kind: an address has a sign and ends in a domain, a number enough digits."""
     if kind == "email":
         return len(shapes) >= 3 and any(s in ("marked-at", "cue-at") for s in shapes[1:-1]) and (shapes[-1].startswith("tld") or "." in shapes[-1][:-1])
-    digits = sum(s.count("9") for s in shapes)
     return digits == 9 if kind == "id" else 7 <= digits <= 15
 
 

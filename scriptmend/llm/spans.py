@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 
 Span = tuple[str, int, int]
@@ -25,11 +26,20 @@ def by_kind(spans: Iterable[Span], kinds: Sequence[str]) -> list[Span]:
 
 
 def outside(new: Iterable[Span], base: Iterable[Span]) -> list[Span]:
-    """Those of ``new`` that touch no span of ``base`` and none taken before."""
-    taken = sorted((a, b) for _, a, b in base)
+    """Those of ``new`` that touch no span of ``base`` and none taken before, by start and the longest first."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     out: list[Span] = []
+    taken = 0
     for kind, a, b in sorted(new, key=lambda s: (s[1], -s[2])):
-        if all(b <= x or y <= a for x, y in taken):
+        k = bisect_left(begins, b) - 1
+        if a >= taken and (k < 0 or ends[k] <= a):
             out.append((kind, a, b))
-            taken.append((a, b))
+            taken = b
     return out
