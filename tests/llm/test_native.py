@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -41,7 +42,8 @@ def brute_quality(text):
 
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
-    twice = {i for i, g in enumerate(grams) if grams.count(g) > 1}
+    times = Counter(grams)
+    twice = {i for i, g in enumerate(grams) if times[g] > 1}
     covered = {i + k for i in twice for k in range(5)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(ws), sum(map(len, ws)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
@@ -51,8 +53,7 @@ def test_quality_edges(spark):
     texts = [None, "", " \t\n", "a b c d e", "a b c d e f a b c d e", "x " * 50, "l\nl\n \n\nl\nm", "é 漢 #| $ b", "w " * 30_000, "a b c d e a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2]
     df = spark.createDataFrame([(i, t, None, "clash") for i, t in enumerate(texts)] + [(3, texts[3], None, "clash")], "doc_id long, text string, source string, kept string")
     for r in quality.judge(df).collect():
-        if len(texts[r.doc_id] or "") < 10_000:
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(texts[r.doc_id])
     assert quality.judge(df.limit(0)).count() == 0
     assert quality.keep_good(df).columns == df.columns
 
@@ -82,6 +83,56 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
+def brute_windows(own, budget, history):
+    """(own positions, repeated positions) of each window of a conversation's (role, tokens)."""
+    first = next((k for k, (role, _) in enumerate(own) if role == "system"), None)
+    kept = first if first is not None and own[first][1] <= budget // 2 else None
+    room = budget - (own[kept][1] if kept is not None else 0)
+    cost = [0 if k == kept else n for k, (_, n) in enumerate(own)]
+    most = min(max(cost), room // 2)
+    windows, begin, last = [], 0, None
+    for k, n in enumerate(cost):
+        at = (begin // (room - most), n > most)
+        if at != last:
+            windows.append(([], []))
+        windows[-1][0].append(k)
+        begin, last = begin + n, at
+    for mine, again in windows:
+        left = room - sum(cost[k] for k in mine)
+        for k in range(mine[0] - 1, max(-1, mine[0] - 1 - history), -1):
+            left -= cost[k]
+            if left < 0:
+                break
+            if k != kept:
+                again.append(k)
+        if kept is not None and kept < mine[0]:
+            again.append(kept)
+    return windows
+
+
+@pytest.mark.parametrize("budget", [24, 64, 512])
+def test_windows_hold_the_budget(spark, budget):
+    import random
+
+    rng = random.Random(budget)
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 25)):
+            role = "system" if turn == conv % 4 else rng.choice(["user", "assistant"])
+            rows.append((conv, turn, role, " ".join(["w"] * rng.choice([0, 3, 10, 30, 200, budget // 2, budget, 3 * budget]))))
+    rows.append((100, 0, "user", "w " * 200_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = {}
+    for r in chat.format_windows(df, budget=budget).collect():
+        assert (r.n_tokens <= budget) or r.formatted.count(chat.TURN) == 1
+        windows.setdefault(r.conv_id, []).append((r.window, r.formatted.count(chat.TURN), r.formatted.count(chat.AGAIN), r.n_tokens))
+    for conv in {r[0] for r in rows}:
+        own = [(role, len(text.split()) + 4) for c, _, role, text in rows if c == conv]
+        want = brute_windows(own, budget, 2)
+        assert [x[1:] for x in sorted(windows[conv])] == [(len(m), len(a), sum(own[k][1] for k in m + a)) for m, a in want]
+    assert {r.n_over for r in chat.read_back(chat.format_windows(df, budget=budget), budget).collect()} == {0}
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -96,6 +147,51 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
         capped |= {s: most * sizes[s] for s in over}
 
 
+def brute_taken(rows, targets, seed=17):
+    """Words taken of each (doc_id, text, source): whole epochs, then documents of smallest key until they fill the rest."""
+    by = {}
+    for i, text, source in rows:
+        words = len((text or "").split())
+        far = abs(len(text or "") / max(words, 1) - 6.5)
+        level = 4 if far <= 1.5 else 3 if far <= 3 else 2 if far <= 6 else 1
+        u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        by.setdefault(source, []).append((-math.log(u) / (level / 4), i, hashlib.md5((text or "").encode()).hexdigest(), words))
+    out = []
+    for source, own in by.items():
+        size = sum(w for *_, w in own)
+        epochs = targets[source] // size if size else 0
+        rest, run = targets[source] - epochs * size, 0
+        for _, i, tie, w in sorted(own):
+            run += w
+            out.append((i, tie, int(epochs * w + (w if w and run - w / 2 <= rest else 0))))
+    return out
+
+
+def test_drawn_documents(spark):
+    rows = [(i, " ".join(["w" * (1 + i % 12)] * (1 + i % 23)), ["a", "b", None, "c"][i % 4]) for i in range(600)]
+    rows += [(7, " ".join(["v"] * k), "a") for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_taken(rows, brute_targets(sizes))
+    for parts in (1, 5):
+        got = [(r.doc_id, r["size"], r.taken) for r in mixing.mix(df.repartition(parts)).collect()]
+        words = {hashlib.md5(t.encode()).hexdigest(): len(t.split()) for _, t, _ in rows}
+        assert sorted(got) == sorted((i, words[tie], n) for i, tie, n in want)
+        mixed = {}
+        for r in mixing.mixed(df.repartition(parts)).collect():
+            key = (r.doc_id, hashlib.md5(r.text.encode()).hexdigest())
+            mixed[key] = mixed.get(key, 0) + len(r.text.split())
+        assert mixed == {(i, tie): n for i, tie, n in want if n}
+
+
+def test_repeated_rows_in_the_mix(spark):
+    rows = [(i // 3, "w " * (5 + i // 3 % 4), "s", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    assert mixing.mixed(df).count() == sum(r.taken // r["size"] for r in mixing.mix(df).collect())
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_mix(spark, small):
     if small:
