@@ -7,15 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, mixing, near_dup, pii, quality, secrets, substring_dedup, token_counts
-
-
-def tokenizer_path() -> str:
-    return public_tokenizers.path("word_bpe_49k.json")
+from .common import tokenizer_path
+from .pipeline import run
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +63,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     own = (op1_secret_scans, op2_suffix_dedup, op3_bpe_round_trip, op4_pii, op5_chat_windows, op6_host_quality, op7_inverted_multi_index, op8_weighted_minhash, op9_token_counts, op10_mixing)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_windows": chat.ORACLE_SQL, "op6_host_quality": quality.ORACLE_SQL}
+    return {"op5_chat_windows": chat.ORACLE_SQL, "op6_host_quality": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
