@@ -239,8 +239,11 @@ q AS (SELECT {name}, round(100.0 * count(*) FILTER (gold_rank < 1) / count(*), 4
 SELECT *, row_number() OVER (ORDER BY top10 DESC, top5 DESC, top1 DESC, {name}) = 1 AS chosen FROM q"""
 
 
-def _fits(t: str) -> str:
-    return f"SELECT case_id, candidate, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, candidate) - 1 AS rank FROM a JOIN cases USING (case_id) WHERE left(candidate, 1) = left(gold, 1) AND right(candidate, 1) = right(gold, 1) AND abs(length(candidate) - length(gold)) <= {t}"
+#: f: what fits of the model's whole list, for each tolerance.
+_FITS = f"""WITH {DOCS}, {ITEMS}, {CASES}, {BIGRAMS}, n0 AS (SELECT w1, w2 AS candidate, count(*) AS n FROM bigrams WHERE w1 IN (SELECT lw FROM cases) GROUP BY ALL),
+n1 AS (SELECT w1, candidate, round(ln(n / sum(n) OVER (PARTITION BY w1)), 6) AS score FROM n0),
+f AS (SELECT t AS tolerance, case_id, candidate, gold, row_number() OVER (PARTITION BY t, case_id ORDER BY score DESC, candidate) - 1 AS rank FROM cases JOIN n1 ON lw = w1, (SELECT unnest([0, 1, 2]) AS t)
+WHERE left(candidate, 1) = left(gold, 1) AND right(candidate, 1) = right(gold, 1) AND abs(length(candidate) - length(gold)) <= t)"""
 
 
 _POISSON_SUM = 0.0
@@ -262,8 +265,8 @@ QUERIES = {
     "alpha_grid_fit": (alpha_grid_fit, f"{RANKING}, {_grid(GRID_ALPHA, 'SELECT a.case_id, a.candidate, a.score AS model, b.score AS back FROM a LEFT JOIN b USING (case_id, candidate)', 'model + alpha * coalesce(back + 10, 0)', 'alpha')}"),
     "length_penalty_fit": (length_penalty_fit, f"{RANKING}, {_grid(GRID_PENALTY, 'SELECT case_id, candidate, score AS model FROM a', 'model + penalty * length(candidate)', 'penalty')}"),
     "logistic_rerank_apply": (logistic_rerank_apply, f"{RANKING}, z AS (SELECT case_id, candidate, round(1 / (1 + exp(-(-0.5 + 0.9 * a.score + 0.6 * coalesce(b.score, -10) + 0.4 * (length(candidate) = length(gold))::INT))), 6) AS p FROM a LEFT JOIN b USING (case_id, candidate) JOIN cases USING (case_id)), {_ranks('SELECT case_id, candidate, row_number() OVER (PARTITION BY case_id ORDER BY p DESC, candidate) - 1 AS rank FROM z')} SELECT 'logistic' AS system, {_SUMMARY} FROM gr"),
-    "physical_constraint_filter": (physical_constraint_filter, f"{RANKING}, {_ranks(_fits('1'))}, n AS (SELECT case_id, count(*) AS n FROM r0 GROUP BY case_id) SELECT case_id, gold_rank, coalesce(n, 0) AS n_fit FROM gr LEFT JOIN n USING (case_id)"),
-    "tolerance_sensitivity": (tolerance_sensitivity, f"{RANKING}, t AS (SELECT unnest([0, 1, 2]) AS tolerance), f AS (SELECT tolerance, case_id, candidate, gold, row_number() OVER (PARTITION BY tolerance, case_id ORDER BY score DESC, candidate) - 1 AS rank FROM t, a JOIN cases USING (case_id) WHERE left(candidate, 1) = left(gold, 1) AND right(candidate, 1) = right(gold, 1) AND abs(length(candidate) - length(gold)) <= tolerance), h AS (SELECT tolerance, case_id, rank AS gold_rank FROM f WHERE candidate = gold) SELECT tolerance, {_SUMMARY} FROM (SELECT tolerance, case_id FROM t, cases) LEFT JOIN h USING (tolerance, case_id) GROUP BY tolerance"),
+    "physical_constraint_filter": (physical_constraint_filter, f"{_FITS}, g AS (SELECT case_id, min(rank) FILTER (candidate = gold) AS gold_rank, count(*) AS n FROM f WHERE tolerance = 1 GROUP BY case_id) SELECT case_id, gold_rank, coalesce(n, 0) AS n_fit FROM cases LEFT JOIN g USING (case_id)"),
+    "tolerance_sensitivity": (tolerance_sensitivity, f"{_FITS}, h AS (SELECT tolerance, case_id, rank AS gold_rank FROM f WHERE candidate = gold), z AS (SELECT tolerance, case_id FROM (SELECT unnest([0, 1, 2]) AS tolerance), cases) SELECT tolerance, {_SUMMARY} FROM z LEFT JOIN h USING (tolerance, case_id) GROUP BY tolerance"),
     "vocabulary_constraint_join": (vocabulary_constraint_join, f"WITH {DOCS}, {ITEMS}, {CASES}, v AS (SELECT DISTINCT unnest(ws) AS word FROM docs) SELECT case_id AS target, count(*) AS n_fit, max((word = gold)::INT) AS has_gold FROM cases JOIN v ON left(word, 1) = left(gold, 1) AND right(word, 1) = right(gold, 1) AND length(word) >= 2 AND abs(length(word) - length(gold)) <= 1 WHERE length(gold) > 1 GROUP BY case_id"),
     "wildcard_match_unique": (wildcard_match_unique, "WITH o AS (SELECT item_id, item_id % 4 AS book, replace(text, '?', '.') AS text FROM benchmark), p AS (SELECT item_id, book, array_to_string(list_transform(string_split(text, ''), lambda c, i: CASE WHEN (i - 1) % 3 = 1 THEN '?' ELSE c END), '') AS pattern FROM o), m AS (SELECT item_id, v.text AS verse FROM p JOIN (SELECT DISTINCT book, text FROM o) v ON v.book = p.book AND length(v.text) = length(pattern) AND v.text LIKE replace(replace(replace(pattern, '_', '\\_'), '%', '\\%'), '?', '_') ESCAPE '\\') SELECT item_id, verse FROM m QUALIFY count(*) OVER (PARTITION BY item_id) = 1"),
     "exclusion_reasons": (exclusion_reasons, f"WITH {ITEMS}, {CASES} SELECT CASE WHEN length(gold) < 2 THEN 'too_short' WHEN gold = lw THEN 'repeats_left' WHEN gold = rw THEN 'repeats_right' WHEN length(gold) > 12 THEN 'too_long' ELSE 'eligible' END AS reason, count(*) AS n, count(DISTINCT item) AS n_items FROM cases GROUP BY 1"),
