@@ -443,7 +443,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class, with all its columns: the one whose id is the class; of repeated rows of it, one. Rows of a null id stay."""
     keep = materialize(classes(docs, id_col, text_col, threshold).filter("doc_id = class_id").groupBy(F.col("class_id").alias("__sm_keep")).agg((F.count(F.lit(1)) > 1).alias("__sm_more")), "keep")
-    met = docs.join(keep, F.col(id_col).cast("long") == F.col("__sm_keep"))
+    met = docs.join(_side(keep, 16), F.col(id_col).cast("long") == F.col("__sm_keep"))
     once = met.filter(~F.col("__sm_more")).select(*docs.columns)
     repeated = met.filter("__sm_more").select(*docs.columns).dropDuplicates([id_col])
     return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))

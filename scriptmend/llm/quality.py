@@ -4,8 +4,9 @@ A document fails by itself when it has under ``min_words`` words or repeats too
 are then aggregated by host; each host's failure rate is shrunk towards a beta prior fitted to all hosts by
 moments, and a host whose shrunk rate exceeds ``host_limit`` takes its other documents with it.
 
-Hosts are aggregated with partial sums before the shuffle; the verdict join is an ordinary one that
-adaptive execution broadcasts when the rejected hosts are few and splits where one host is hot.
+Hosts are aggregated with partial sums before the shuffle. Rejected hosts, names only, are broadcast, up to
+``BROADCAST_HOSTS`` at a time, so that documents are judged where they were read; beyond ``LOTS`` such lots they
+are joined, with hosts split by adaptive execution where they are hot.
 
 Defined results: a null text has no words and fails; documents of a null host form a host of their own;
 repeated rows count each; an empty table gives an empty result; extra columns are not read. Five-word
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import OWN, materialize
 
 BLANK, WINDOW = r"[\x20\x09-\x0D]+", 5
+BROADCAST_HOSTS, LOTS = 100_000, 8
 
 
 def words_of(text: Column) -> Column:
@@ -65,9 +67,13 @@ def rejected_hosts(judged: DataFrame, host_limit: float = 0.5, most_weight: floa
 
 
 def _kept(judged: DataFrame, host_limit: float) -> DataFrame:
-    bad = rejected_hosts(judged, host_limit)
-    joined = judged.join(bad, F.col(OWN + "host") == F.col(OWN + "bad"), "left")
-    return joined.withColumn(OWN + "kept", ~F.col(OWN + "base_failed") & F.col(OWN + "bad").isNull())
+    bad = materialize(rejected_hosts(judged, host_limit), "bad-hosts")
+    lots = -(-bad.count() // BROADCAST_HOSTS)
+    judged = judged.withColumn(OWN + "kept", ~F.col(OWN + "base_failed"))
+    for k in range(lots if lots <= LOTS else 1):
+        part = F.broadcast(bad.filter(F.pmod(F.xxhash64(OWN + "bad"), F.lit(lots)) == k)) if lots <= LOTS else bad
+        judged = judged.join(part, F.col(OWN + "host") == F.col(OWN + "bad"), "left").withColumn(OWN + "kept", F.col(OWN + "kept") & F.col(OWN + "bad").isNull()).drop(OWN + "bad")
+    return judged
 
 
 def _host(host: Column) -> Column:
