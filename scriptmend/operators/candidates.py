@@ -15,6 +15,10 @@ from ..functions import text as X
 from .context import maybe_broadcast
 
 
+#: More words than a text of the longest string that there is.
+MOST_WORDS = 1_000_000_000
+
+
 def bigrams(docs: DataFrame, words_col: str = "ws") -> DataFrame:
     """w1, w2 of all neighbours, row by row."""
     ws = F.col(words_col)
@@ -23,10 +27,10 @@ def bigrams(docs: DataFrame, words_col: str = "ws") -> DataFrame:
 
 
 def single_cases(items: DataFrame, key: str = "item_id", words_col: str = "ws") -> DataFrame:
-    """case_id, item, lw, gold, rw of every word that has a neighbour on both sides."""
+    """case_id, item, lw, gold, rw of every word that has a neighbour on both sides. Ids have room for ``MOST_WORDS`` words an item and 9 * 10^9 items."""
     ws = F.col(words_col)
     df = items.filter(F.size(ws) > 2).select(F.col(key).alias("item"), words_col, F.explode(F.sequence(F.lit(1), F.size(ws) - 2)).alias("pos"))
-    return df.select((F.col("item") * 100000 + F.col("pos")).alias("case_id"), "item", "pos", F.get(ws, F.col("pos") - 1).alias("lw"), F.get(ws, F.col("pos")).alias("gold"), F.get(ws, F.col("pos") + 1).alias("rw"))
+    return df.select((F.col("item").cast("long") * MOST_WORDS + F.col("pos")).alias("case_id"), "item", "pos", F.get(ws, F.col("pos") - 1).alias("lw"), F.get(ws, F.col("pos")).alias("gold"), F.get(ws, F.col("pos") + 1).alias("rw"))
 
 
 def neighbour_scores(pairs: DataFrame, given: str, wanted: str, keys: DataFrame) -> DataFrame:

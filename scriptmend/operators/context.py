@@ -29,16 +29,16 @@ def context_hash(ws: Column, i: Column, width: int) -> Column:
 
 
 def window_keys(docs: DataFrame, keys: Sequence[str], widths: Sequence[int] = WINDOWS, words_col: str = "ws") -> DataFrame:
-    """keys, pos, w, key, target, left, right of every position with ``w`` words on both sides."""
+    """keys, pos, w, key and near (the ``w`` words on both sides, and the one between) of every position that has them. A row holds these words only, however long its text."""
     n = F.size(words_col)
-    one = lambda w: F.when(n > 2 * w, F.transform(F.sequence(F.lit(w), n - w - 1), lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), context_hash(F.col(words_col), i, w).alias("key"))))
+    one = lambda w: F.when(n > 2 * w, F.transform(F.sequence(F.lit(w), n - w - 1), lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), context_hash(F.col(words_col), i, w).alias("key"), F.slice(F.col(words_col), i - w + 1, F.lit(2 * w + 1)).alias("near"))))
     every = F.flatten(F.filter(F.array(*(one(w) for w in widths)), lambda a: a.isNotNull()))
-    return docs.select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.w", "k.pos", "k.key")
+    return docs.select(*keys, F.explode(every).alias("k")).select(*keys, "k.w", "k.pos", "k.key", "k.near")
 
 
-def _spelled(df: DataFrame, words_col: str = "ws") -> DataFrame:
-    ws, w, pos = F.col(words_col), F.col("w"), F.col("pos")
-    return df.withColumn("target", F.get(ws, pos)).withColumn("lctx", F.array_join(F.slice(ws, pos - w + 1, w), " ")).withColumn("rctx", F.array_join(F.slice(ws, pos + 2, w), " ")).drop(words_col)
+def _spelled(df: DataFrame) -> DataFrame:
+    near, w = F.col("near"), F.col("w")
+    return df.withColumn("target", F.get(near, w)).withColumn("lctx", F.array_join(F.slice(near, F.lit(1), w), " ")).withColumn("rctx", F.array_join(F.slice(near, w + 2, w), " ")).drop("near")
 
 
 def parallel_index(docs: DataFrame, cases: DataFrame, group: str, words_col: str = "ws") -> DataFrame:
@@ -64,7 +64,7 @@ def parallel_lookup(cases: DataFrame, index: DataFrame, keys: Sequence[str], exc
 
 
 def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", most: int = 2, bound: str | None = None) -> DataFrame:
-    """keys, pos, target, l, r, key: every context key of up to ``most`` words a side of every position.
+    """keys, pos, a, b, key, near: every context key of up to ``most`` words a side of every position, with its words and the one between.
 
     ``bound`` is an array of booleans, whether a word is bound to the next: then only keys whose words all are.
     """
@@ -81,17 +81,16 @@ def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws",
                     fits = (i >= a) & (i + b < F.size(ws))
                     for d in range(-a, b) if bound else ():
                         fits = fits & F.get(bound, i + d)
-                    out.append(F.when(fits, F.struct(i.alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.xxhash64(F.lit(a * 10 + b), *(F.get(ws, i + d) for d in [*range(-a, 0), *range(1, b + 1)])).alias("key"))))
+                    out.append(F.when(fits, F.struct(i.alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.xxhash64(F.lit(a * 10 + b), *(F.get(ws, i + d) for d in [*range(-a, 0), *range(1, b + 1)])).alias("key"), F.slice(ws, i - a + 1, F.lit(a + b + 1)).alias("near"))))
         return F.array(*out)
 
     every = F.filter(F.flatten(F.transform(places, at)), lambda k: k.isNotNull())
-    df = docs.filter(F.size(ws) > 0).select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.*")
-    return df
+    return docs.filter(F.size(ws) > 0).select(*keys, F.explode(every).alias("k")).select(*keys, "k.*")
 
 
-def spelled_pairs(df: DataFrame, words_col: str = "ws") -> DataFrame:
-    ws, p, a, b = F.col(words_col), F.col("pos"), F.col("a"), F.col("b")
-    return df.withColumn("target", F.get(ws, p)).withColumn("lctx", F.array_join(F.slice(ws, p - a + 1, a), " ")).withColumn("rctx", F.array_join(F.slice(ws, p + 2, b), " ")).drop(words_col)
+def spelled_pairs(df: DataFrame) -> DataFrame:
+    near, a, b = F.col("near"), F.col("a"), F.col("b")
+    return df.withColumn("target", F.get(near, a)).withColumn("lctx", F.array_join(F.slice(near, F.lit(1), a), " ")).withColumn("rctx", F.array_join(F.slice(near, a + 2, b), " ")).drop("near")
 
 
 def two_sided_index(docs: DataFrame, wanted: DataFrame, words_col: str = "ws") -> DataFrame:
@@ -115,7 +114,7 @@ def commonest_contexts(docs: DataFrame, pairs: DataFrame, k: int, words_col: str
     if len(common) <= named:
         bound = "bound"
         rows = rows.withColumn(bound, F.transform(words_col, lambda w, i: F.coalesce(F.concat(w, F.lit(" "), F.get(words_col, i + 1)).isin(common), F.lit(False))))
-    index = spelled_pairs(two_sided_pairs(rows, [], words_col, bound=bound), words_col).groupBy("lctx", "rctx", "target").agg(F.count(F.lit(1)).alias("n"))
+    index = spelled_pairs(two_sided_pairs(rows, [], words_col, bound=bound)).groupBy("lctx", "rctx", "target").agg(F.count(F.lit(1)).alias("n"))
     return index.orderBy(F.desc("n"), "lctx", "rctx", "target").limit(k)
 
 
@@ -129,17 +128,17 @@ def retrieval_scores(case_keys: DataFrame, index: DataFrame, keys: Sequence[str]
 def prefix_index(docs: DataFrame, wanted: DataFrame, words_col: str = "ws", sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
     """prefix, size, target, n over the prefixes in ``wanted`` (column key)."""
     hits = prefix_keys(docs, [], words_col, sizes).join(maybe_broadcast(wanted.select("key").distinct()), "key", "left_semi")
-    ws, p, k = F.col(words_col), F.col("pos"), F.col("size")
-    spelled = hits.withColumn("target", F.get(ws, p)).withColumn("prefix", F.array_join(F.slice(ws, p - k + 1, k), " "))
+    near, k = F.col("near"), F.col("size")
+    spelled = hits.withColumn("target", F.get(near, k)).withColumn("prefix", F.array_join(F.slice(near, F.lit(1), k), " "))
     return spelled.groupBy("prefix", "size", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prefix_keys(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
-    """keys, ws, pos, size, key of the ``size`` words before every position that has them."""
+    """keys, pos, size, key of the ``size`` words before every position that has them, and near: these and the word there."""
     ws = F.col(words_col)
-    one = lambda k: F.when(F.size(ws) > k, F.transform(F.sequence(F.lit(k), F.size(ws) - 1), lambda i: F.struct(i.alias("pos"), F.lit(k).alias("size"), F.xxhash64(F.lit(k), *(F.get(ws, i - d) for d in range(k, 0, -1))).alias("key"))))
+    one = lambda k: F.when(F.size(ws) > k, F.transform(F.sequence(F.lit(k), F.size(ws) - 1), lambda i: F.struct(i.alias("pos"), F.lit(k).alias("size"), F.xxhash64(F.lit(k), *(F.get(ws, i - d) for d in range(k, 0, -1))).alias("key"), F.slice(ws, i - k + 1, F.lit(k + 1)).alias("near"))))
     every = F.flatten(F.filter(F.array(*(one(k) for k in sizes)), lambda a: a.isNotNull()))
-    return docs.select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.*")
+    return docs.select(*keys, F.explode(every).alias("k")).select(*keys, "k.*")
 
 
 def backoff_features(cases: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -67,13 +67,10 @@ def array_chunks(docs: DataFrame, keys: Sequence[str], size: int = 128, least: i
 
 def spans(docs: DataFrame, keys: Sequence[str], longest: int = 3, around: int = 8, most_chars: int = 18, words_col: str = "ws") -> DataFrame:
     """All stretches of 1 to ``longest`` words with ``around`` words on each side and at most ``most_chars`` characters."""
-    n = F.size(words_col)
-    frames = [docs.filter(n >= 2 * around + k).select(*keys, F.lit(k).alias("n_words"), words_col, F.explode(F.sequence(F.lit(around), n - around - k)).alias("start")) for k in range(1, longest + 1)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    out = out.withColumn("gold", F.array_join(F.slice(F.col(words_col), F.col("start") + 1, F.col("n_words")), " "))
-    return out.filter(F.length("gold") <= most_chars).drop(words_col)
+    n, ws = F.size(words_col), F.col(words_col)
+    one = lambda k: F.when(n >= 2 * around + k, F.transform(F.sequence(F.lit(around), n - around - k), lambda i: F.struct(F.lit(k).alias("n_words"), i.alias("start"), F.array_join(F.slice(ws, i + 1, F.lit(k)), " ").alias("gold"))))
+    every = F.flatten(F.filter(F.array(*(one(k) for k in range(1, longest + 1))), lambda a: a.isNotNull()))
+    return docs.select(*keys, F.explode(every).alias("s")).select(*keys, "s.*").filter(F.length("gold") <= most_chars)
 
 
 def nearby(order: str, keys: Sequence[str], value: Column, width: int) -> Column:

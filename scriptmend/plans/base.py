@@ -36,7 +36,7 @@ def one_system(rows: DataFrame, name: str) -> DataFrame:
 DOCS = r"docs AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents)"
 ITEMS = r"items AS (SELECT item_id, text, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM benchmark)"
 TOKENS = "tok AS (SELECT doc_id, source, lang, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM docs)"
-CASES = "cases AS (SELECT item_id * 100000 + i AS case_id, item_id AS item, i AS pos, ws[i] AS lw, ws[i + 1] AS gold, ws[i + 2] AS rw FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM items WHERE len(ws) > 2))"
+CASES = "cases AS (SELECT item_id * 1000000000 + i AS case_id, item_id AS item, i AS pos, ws[i] AS lw, ws[i + 1] AS gold, ws[i + 2] AS rw FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM items WHERE len(ws) > 2))"
 BIGRAMS = "bigrams AS (SELECT ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM docs WHERE len(ws) > 1))"
 NEXT = """nx0 AS (SELECT w1, w2 AS candidate, count(*) AS n FROM bigrams WHERE w1 IN (SELECT lw FROM cases) GROUP BY ALL),
 nx1 AS (SELECT w1, candidate, round(ln(n / sum(n) OVER (PARTITION BY w1)), 6) AS score FROM nx0),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import text as X
 from ..operators import augment, facets, sequences, splits, validation
+from ..operators.context import maybe_broadcast
 from .base import DOCS, ITEMS, TOKENS, docs, items, table
 
 
@@ -73,7 +74,7 @@ def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return d.join(F.broadcast(group_split(spark, sf)), "source").groupBy("split").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.count_distinct("source").alias("n_sources"))
+    return d.join(maybe_broadcast(group_split(spark, sf)), "source").groupBy("split").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.count_distinct("source").alias("n_sources"))
 
 
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:

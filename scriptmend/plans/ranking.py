@@ -9,6 +9,7 @@ from ..functions import ranking as R
 from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import classify, constraints, fusion, metrics
+from ..operators.context import maybe_broadcast
 from .base import BIGRAMS, CASES, DOCS, ITEMS, RANKING, cases, docs, hits, one_system, systems
 
 GRID_ALPHA, GRID_PENALTY, GRID_WEIGHT = (0.0, 0.25, 0.5, 1.0, 2.0), (-0.5, -0.25, 0.0, 0.25, 0.5), (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -169,7 +170,7 @@ def cer_boundary_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 def miss_classifier(spark: SparkSession, sf: str) -> DataFrame:
     c, a, _ = _both(spark, sf)
-    freq = docs(spark, sf).select(F.explode("ws").alias("gold")).join(F.broadcast(c.select("gold").distinct()), "gold", "left_semi").groupBy("gold").agg(F.count(F.lit(1)).alias("freq"))
+    freq = docs(spark, sf).select(F.explode("ws").alias("gold")).join(maybe_broadcast(c.select("gold").distinct()), "gold", "left_semi").groupBy("gold").agg(F.count(F.lit(1)).alias("freq"))
     lists = a.filter("rank < 5").groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]).alias("cands"))
     rows = c.join(lists, "case_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<string>"))).join(freq, "gold", "left")
     klass = classify.miss_class(F.col("gold"), F.col("cands"), F.col("freq"))
@@ -207,7 +208,7 @@ def pseudo_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     """Mean log probability and perplexity of each item under add-one bigrams of the corpus."""
     pairs = C.bigrams(docs(spark, sf))
     own = cases(spark, sf).select("item", F.col("lw").alias("w1"), F.col("gold").alias("w2"))
-    some = pairs.join(F.broadcast(own.select("w1").distinct()), "w1", "left_semi")
+    some = pairs.join(maybe_broadcast(own.select("w1").distinct()), "w1", "left_semi")
     joint, single = some.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")), some.groupBy("w1").agg(F.count(F.lit(1)).alias("m"))
     v = pairs.select("w1").distinct().count()
     rows = own.join(joint, ["w1", "w2"], "left").join(single, "w1", "left")
