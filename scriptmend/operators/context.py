@@ -7,7 +7,7 @@ compared after the join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +29,23 @@ def context_hash(ws: Column, i: Column, width: int) -> Column:
 
 
 def window_keys(docs: DataFrame, keys: Sequence[str], widths: Sequence[int] = WINDOWS, words_col: str = "ws") -> DataFrame:
-    """keys, pos, w, key and near (the ``w`` words on both sides, and the one between) of every position that has them. A row holds these words only, however long its text."""
+    """keys, words, pos, w, key of every position with ``w`` words on both sides. Rows share their text's words: ``near_window`` before they are shuffled."""
     n = F.size(words_col)
-    one = lambda w: F.when(n > 2 * w, F.transform(F.sequence(F.lit(w), n - w - 1), lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), context_hash(F.col(words_col), i, w).alias("key"), F.slice(F.col(words_col), i - w + 1, F.lit(2 * w + 1)).alias("near"))))
+    one = lambda w: F.when(n > 2 * w, F.transform(F.sequence(F.lit(w), n - w - 1), lambda i: F.struct(F.lit(w).alias("w"), i.alias("pos"), context_hash(F.col(words_col), i, w).alias("key"))))
     every = F.flatten(F.filter(F.array(*(one(w) for w in widths)), lambda a: a.isNotNull()))
-    return docs.select(*keys, F.explode(every).alias("k")).select(*keys, "k.w", "k.pos", "k.key", "k.near")
+    return docs.select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.w", "k.pos", "k.key")
+
+
+def near_window(df: DataFrame, words_col: str = "ws") -> DataFrame:
+    """near: the words of a window, for all words of its text."""
+    return df.withColumn("near", F.slice(F.col(words_col), F.col("pos") - F.col("w") + 1, 2 * F.col("w") + 1)).drop(words_col)
+
+
+def wanted_only(rows: DataFrame, wanted: DataFrame, on: Sequence[str], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows whose key is wanted, with their own words only. The wanted keys are broadcast if they are few; else rows part with their texts before they are shuffled."""
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return near(rows.join(F.broadcast(wanted), list(on), "left_semi"))
+    return near(rows).join(wanted, list(on), "left_semi")
 
 
 def _spelled(df: DataFrame) -> DataFrame:
@@ -43,14 +55,14 @@ def _spelled(df: DataFrame) -> DataFrame:
 
 def parallel_index(docs: DataFrame, cases: DataFrame, group: str, words_col: str = "ws") -> DataFrame:
     """w, lctx, rctx, grp, target, n: the index, over the contexts that some case has."""
-    wanted = maybe_broadcast(cases.select("w", "key").distinct())
-    hits = _spelled(window_keys(docs, [group], words_col=words_col).join(wanted, ["w", "key"], "left_semi"))
+    rows = window_keys(docs, [group], words_col=words_col)
+    hits = _spelled(wanted_only(rows, cases.select("w", "key").distinct(), ["w", "key"], lambda d: near_window(d, words_col)))
     return hits.groupBy("w", "lctx", "rctx", F.col(group).alias("grp"), "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lookup_cases(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cases at every width: keys, pos, w, key, gold, lctx, rctx. ``cases`` has keys and ws."""
-    return _spelled(window_keys(cases, keys)).withColumnRenamed("target", "gold")
+    return _spelled(near_window(window_keys(cases, keys))).withColumnRenamed("target", "gold")
 
 
 def parallel_lookup(cases: DataFrame, index: DataFrame, keys: Sequence[str], excluded: str | None = None) -> DataFrame:
@@ -64,7 +76,7 @@ def parallel_lookup(cases: DataFrame, index: DataFrame, keys: Sequence[str], exc
 
 
 def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", most: int = 2, bound: str | None = None) -> DataFrame:
-    """keys, pos, a, b, key, near: every context key of up to ``most`` words a side of every position, with its words and the one between.
+    """keys, words, pos, a, b, key: every context key of up to ``most`` words a side of every position.
 
     ``bound`` is an array of booleans, whether a word is bound to the next: then only keys whose words all are.
     """
@@ -81,11 +93,16 @@ def two_sided_pairs(docs: DataFrame, keys: Sequence[str], words_col: str = "ws",
                     fits = (i >= a) & (i + b < F.size(ws))
                     for d in range(-a, b) if bound else ():
                         fits = fits & F.get(bound, i + d)
-                    out.append(F.when(fits, F.struct(i.alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.xxhash64(F.lit(a * 10 + b), *(F.get(ws, i + d) for d in [*range(-a, 0), *range(1, b + 1)])).alias("key"), F.slice(ws, i - a + 1, F.lit(a + b + 1)).alias("near"))))
+                    out.append(F.when(fits, F.struct(i.alias("pos"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.xxhash64(F.lit(a * 10 + b), *(F.get(ws, i + d) for d in [*range(-a, 0), *range(1, b + 1)])).alias("key"))))
         return F.array(*out)
 
     every = F.filter(F.flatten(F.transform(places, at)), lambda k: k.isNotNull())
-    return docs.filter(F.size(ws) > 0).select(*keys, F.explode(every).alias("k")).select(*keys, "k.*")
+    return docs.filter(F.size(ws) > 0).select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.*")
+
+
+def near_pair(df: DataFrame, words_col: str = "ws") -> DataFrame:
+    """near: the words of a context and the one between, for all words of its text."""
+    return df.withColumn("near", F.slice(F.col(words_col), F.col("pos") - F.col("a") + 1, F.col("a") + F.col("b") + 1)).drop(words_col)
 
 
 def spelled_pairs(df: DataFrame) -> DataFrame:
@@ -95,7 +112,7 @@ def spelled_pairs(df: DataFrame) -> DataFrame:
 
 def two_sided_index(docs: DataFrame, wanted: DataFrame, words_col: str = "ws") -> DataFrame:
     """lctx, rctx, a, b, target, n over the context keys in ``wanted`` (column key)."""
-    hits = two_sided_pairs(docs, [], words_col).join(maybe_broadcast(wanted.select("key").distinct()), "key", "left_semi")
+    hits = wanted_only(two_sided_pairs(docs, [], words_col), wanted.select("key").distinct(), ["key"], lambda d: near_pair(d, words_col))
     return spelled_pairs(hits).groupBy("lctx", "rctx", "a", "b", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -114,7 +131,7 @@ def commonest_contexts(docs: DataFrame, pairs: DataFrame, k: int, words_col: str
     if len(common) <= named:
         bound = "bound"
         rows = rows.withColumn(bound, F.transform(words_col, lambda w, i: F.coalesce(F.concat(w, F.lit(" "), F.get(words_col, i + 1)).isin(common), F.lit(False))))
-    index = spelled_pairs(two_sided_pairs(rows, [], words_col, bound=bound)).groupBy("lctx", "rctx", "target").agg(F.count(F.lit(1)).alias("n"))
+    index = spelled_pairs(near_pair(two_sided_pairs(rows, [], words_col, bound=bound), words_col)).groupBy("lctx", "rctx", "target").agg(F.count(F.lit(1)).alias("n"))
     return index.orderBy(F.desc("n"), "lctx", "rctx", "target").limit(k)
 
 
@@ -127,18 +144,23 @@ def retrieval_scores(case_keys: DataFrame, index: DataFrame, keys: Sequence[str]
 
 def prefix_index(docs: DataFrame, wanted: DataFrame, words_col: str = "ws", sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
     """prefix, size, target, n over the prefixes in ``wanted`` (column key)."""
-    hits = prefix_keys(docs, [], words_col, sizes).join(maybe_broadcast(wanted.select("key").distinct()), "key", "left_semi")
+    hits = wanted_only(prefix_keys(docs, [], words_col, sizes), wanted.select("key").distinct(), ["key"], lambda d: near_prefix(d, words_col))
     near, k = F.col("near"), F.col("size")
     spelled = hits.withColumn("target", F.get(near, k)).withColumn("prefix", F.array_join(F.slice(near, F.lit(1), k), " "))
     return spelled.groupBy("prefix", "size", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prefix_keys(docs: DataFrame, keys: Sequence[str], words_col: str = "ws", sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
-    """keys, pos, size, key of the ``size`` words before every position that has them, and near: these and the word there."""
+    """keys, pos, size, key of the ``size`` words before every position that has them, and the words of its text."""
     ws = F.col(words_col)
-    one = lambda k: F.when(F.size(ws) > k, F.transform(F.sequence(F.lit(k), F.size(ws) - 1), lambda i: F.struct(i.alias("pos"), F.lit(k).alias("size"), F.xxhash64(F.lit(k), *(F.get(ws, i - d) for d in range(k, 0, -1))).alias("key"), F.slice(ws, i - k + 1, F.lit(k + 1)).alias("near"))))
+    one = lambda k: F.when(F.size(ws) > k, F.transform(F.sequence(F.lit(k), F.size(ws) - 1), lambda i: F.struct(i.alias("pos"), F.lit(k).alias("size"), F.xxhash64(F.lit(k), *(F.get(ws, i - d) for d in range(k, 0, -1))).alias("key"))))
     every = F.flatten(F.filter(F.array(*(one(k) for k in sizes)), lambda a: a.isNotNull()))
-    return docs.select(*keys, F.explode(every).alias("k")).select(*keys, "k.*")
+    return docs.select(*keys, words_col, F.explode(every).alias("k")).select(*keys, words_col, "k.*")
+
+
+def near_prefix(df: DataFrame, words_col: str = "ws") -> DataFrame:
+    """near: the words of a prefix and the one after it, for all words of its text."""
+    return df.withColumn("near", F.slice(F.col(words_col), F.col("pos") - F.col("size") + 1, F.col("size") + 1)).drop(words_col)
 
 
 def backoff_features(cases: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -39,24 +39,21 @@ def visible_gold(cases: DataFrame, context: str = "context", gold: str = "gold")
 def contamination(docs: DataFrame, items: DataFrame, key: str, item: str, n: int = 13) -> DataFrame:
     """item, n_grams, n_found, n_docs: distinct n-word strings of each item that some document has.
 
-    Grams are joined by hash; documents that hold one are then searched for its words.
+    Grams are joined by hash and then compared. The hashes of the items' grams are broadcast if they are few; else a
+    document's grams are spelled out before they are shuffled.
     """
     text = lambda g: F.array_join(g, " ")
     asked = items.select(item, F.explode(F.array_distinct(F.transform(ngrams(F.col("ws"), n), text))).alias("gram"))
-    known = docs.select(key, F.explode(F.array_distinct(F.transform(ngrams(F.col("ws"), n), lambda g: F.xxhash64(text(g))))).alias("h"))
+    known = docs.select(key, "ws", F.posexplode(F.transform(ngrams(F.col("ws"), n), lambda g: F.xxhash64(text(g)))).alias("pos", "h"))
+    spelled = lambda df: df.withColumn("held", text(F.slice("ws", F.col("pos") + 1, F.lit(n)))).drop("ws", "pos")
     hashes = asked.select(F.xxhash64("gram").alias("h"), "gram", item)
-    met = known.join(F.broadcast(hashes) if hashes.limit(500_001).count() <= 500_000 else hashes, "h")
-    met = with_words_held(docs, met, key).filter(F.contains(F.concat(F.lit(" "), "held", F.lit(" ")), F.concat(F.lit(" "), "gram", F.lit(" "))))
+    few = hashes.limit(500_001).count() <= 500_000
+    met = (spelled(known.join(F.broadcast(hashes), "h")) if few else spelled(known).join(hashes, "h")).filter("held = gram")
     found = met.groupBy(item).agg(F.countDistinct("gram").alias("n_found"), F.countDistinct(key).alias("n_docs"))
     total = asked.groupBy(item).agg(F.count(F.lit(1)).alias("n_grams"))
     return total.join(found, item, "left").fillna(0, ["n_found", "n_docs"])
 
 
-def with_words_held(docs: DataFrame, met: DataFrame, key: str) -> DataFrame:
-    """Rows of ``met`` with held: the words of their document, joined by blanks."""
-    return met.join(docs.select(key, F.array_join("ws", " ").alias("held")), key)
-
-
 def fingerprint(rows: DataFrame, key: str, value: str) -> DataFrame:
     """n, sha256 of the sorted lines key, tab, value: the same for any order of the rows. For samples, which are small by design."""
     line = F.concat(F.col(key).cast("string"), F.lit("\t"), F.col(value))

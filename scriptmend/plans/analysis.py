@@ -57,8 +57,9 @@ def pattern_beam(spark: SparkSession, sf: str) -> DataFrame:
 
 def conjecture_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Conjectures for each case, the gold word and the model's five best, by the sum of their log shares after the word before and before the word after (-12 where never seen)."""
-    c = cases(spark, sf)
-    after, before = _models(spark, sf)
+    c, pairs = cases(spark, sf), C.bigrams(docs(spark, sf))
+    after = C.neighbour_scores(pairs, "w1", "w2", c.select(F.col("lw").alias("w1")))
+    before = C.neighbour_scores(pairs, "w2", "w1", c.select(F.col("rw").alias("w2")))
     said = one_system(systems(spark, sf), "next").filter("rank < 5").select("case_id", "candidate").unionByName(c.select("case_id", F.col("gold").alias("candidate"))).distinct()
     met = said.join(c, "case_id").join(after.select(F.col("w1").alias("lw"), "candidate", F.col("score").alias("x")), ["lw", "candidate"], "left").join(before.select(F.col("w2").alias("rw"), "candidate", F.col("score").alias("y")), ["rw", "candidate"], "left")
     scored = met.withColumn("score", F.round(F.coalesce("x", F.lit(-12.0)) + F.coalesce("y", F.lit(-12.0)), 6))
