@@ -129,13 +129,19 @@ def unpacked(blob: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if ascending else x
 
 
-def _blobs(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+def _stretches(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket of a sorted column that has rows, and where they are."""
+    found, begin = np.unique(bucket, return_index=True)
+    for b, start, end in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
+        yield b, slice(start, end)
+
+
+def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Rows dealt by bucket, the first column ascending in each: the columns packed."""
     order = np.lexsort((columns[0], bucket))
     columns = tuple(c[order] for c in columns)
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), [packed(c[edges[b] : edges[b + 1]], k == 0) for k, c in enumerate(columns)]
+    for b, own in _stretches(bucket[order]):
+        yield b, [packed(c[own], k == 0) for k, c in enumerate(columns)]
 
 
 # --- step 1: which minimisers are shared --------------------------------------------------------------
@@ -170,7 +176,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         with np.errstate(over="ignore"):
             bucket = np.where(s_all == _TOLD, _spread(d_all.astype(_U) * _BASE), _spread(m_all * _BASE)) % _U(buckets)
         base = int(ids.min()) if len(ids) else 0
-        rows = list(_blobs(bucket.astype(np.int64), buckets, m_all, d_all - base, s_all))
+        rows = list(_blobs(bucket.astype(np.int64), m_all, d_all - base, s_all))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([base] * len(rows), pa.int64()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3))], names=["bucket", "base", "least", "doc", "state"])
 
 
@@ -244,10 +250,8 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         order = np.lexsort((np.append(least[e[: int(sent.sum()), 0]], np.zeros(len(whole), _U)), size < 0, bucket))
         e, bucket, size = e[order], bucket[order], size[order]
         sent = size > 0
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows: list[list] = [[] for _ in range(5)]
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            own = slice(edges[b], edges[b + 1])
+        for b, own in _stretches(bucket):
             raw = zstandard.ZstdCompressor(3).compress(b"".join(fragments[i] for i in e[own, 0][sent[own]].tolist()))
             for row, value in zip(rows, (b, raw, size[own].astype(np.int64).tobytes(), e[own, 1].tobytes(), e[own, 2].tobytes()), strict=True):
                 row.append(value)
