@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GAP = "<GAP>"
 # Letters, their final and medial forms, spellings and one-letter prefixes that results depend on.
@@ -169,3 +173,22 @@ def contains_all(columns: list[Column], query: str) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def canonical(value: str | None) -> str | None:
+    """Letters, ``?`` and single blanks of a text, without points and accents; a hyphen between words is a blank."""
+    if value is None:
+        return None
+    plain = "".join(c for c in unicodedata.normalize("NFD", value) if unicodedata.category(c) != "Mn")
+    return " ".join(re.sub(f"[^{LETTERS}? ]", "", plain.replace("\u05be", " ")).split())
+
+
+@F.pandas_udf(T.StringType())
+def canonical_text(value: pd.Series) -> pd.Series:
+    """``canonical`` over a column: decomposition has no built-in function."""
+    return value.map(canonical)
+
+
+def is_particle(word: Column, particles: list[str]) -> Column:
+    """Whether a word, with medial forms, is in a closed list."""
+    return medial(word).isin([p.translate(str.maketrans(FINALS, MEDIALS)) for p in particles])

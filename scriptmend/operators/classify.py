@@ -56,3 +56,17 @@ def suppressed(score: Column, candidate: Column, left: Column, right: Column, pa
     """A particle next to a particle loses 5."""
     beside = F.coalesce(left.isin(particles), F.lit(False)) | F.coalesce(right.isin(particles), F.lit(False))
     return score - F.when(candidate.isin(particles) & beside, 5.0).otherwise(0.0)
+
+
+def slot_class(gold: Column, candidates: Column, frequency: Column, form=lambda c: c) -> Column:
+    """Class of one slot of a phrase; ``form`` is the form in which words are compared."""
+    first = F.get(candidates, F.lit(0))
+    return (
+        F.when(F.size(candidates) == 0, "empty")
+        .when(form(first) == form(gold), "exact_top1_hit")
+        .when(F.exists(candidates, lambda c: form(c) == form(gold)), "exact_top5_hit")
+        .when((first != "") & (F.length(first) <= F.greatest(F.lit(1), F.length(gold) - 2)), "particle_or_too_short")
+        .when(F.coalesce(frequency, F.lit(0)) <= 1, "rare_or_unseen")
+        .when(F.exists(candidates, lambda c: F.length(c) == F.length(gold)), "same_length_semantic")
+        .otherwise("other_miss")
+    )

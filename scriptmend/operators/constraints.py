@@ -38,7 +38,7 @@ def read_segments(display: str | None) -> tuple[list[str], bool, bool]:
         if c in "[○" or "א" <= c <= "ת":
             after = False
         if not segments and c in "[]○":
-            before = before and False
+            before = False
     if run:
         segments.append(run)
     if value.endswith("[") and segments and value[-2:-1] and "א" <= value[-2] <= "ת":

@@ -10,6 +10,13 @@ from ..functions import text as X
 SIGNS = "modern-reconstruction-signs"
 MARKER = "modern-removal-or-unknown-marker"
 
+# Scrolls in Aramaic, which can be left out.
+ARAMAIC = (
+    "1Q20 11Q10 4Q196 4Q197 4Q198 4Q199 4Q200 4Q201 4Q202 4Q203 4Q204 4Q205 4Q206 4Q207 4Q208 4Q209 "
+    "4Q210 4Q211 4Q212 4Q213 4Q214 4Q243 4Q244 4Q245 4Q246 4Q550 4Q551 4Q552 4Q553 4Q554 4Q555 4Q556"
+).split()
+EVERY_BOOK, HEBREW_ONLY = ("", "all", "none", "off"), ("no-aram", "exclude_aramaic", "exclude-aramaic", "hebrew-only")
+
 
 def word_status(words: DataFrame, signs: DataFrame) -> DataFrame:
     """glyph, fully_reconstructed and preserved of each word; a word that is mixed or without signs is neither."""
@@ -99,3 +106,24 @@ def marker_flags(vac: Column, rem: Column, unc: Column, glyph: Column, full: Col
 def run_category(flags: Column) -> Column:
     """Category of a run by the first flag, in order of priority, that any of its words has."""
     return F.when(F.array_contains(flags, "vacat"), "vacat").when(F.array_contains(flags, "removed"), "removed").when(F.exists(flags, lambda f: f.startswith("uncertain")), "uncertain").when(F.array_contains(flags, "hash-loss"), "hash_loss").when(F.array_contains(flags, "empty-glyph"), "empty_glyph").otherwise("other")
+
+
+def non_biblical(words: DataFrame, inverse: bool = False) -> DataFrame:
+    """Words without the feature ``biblical``, or, inversely, those with it; empty and 0 are without."""
+    has = ~F.coalesce(F.col("biblical").cast("string"), F.lit("")).isin("", "0")
+    return words.filter(has if inverse else ~has)
+
+
+def without_books(rows: DataFrame, mode: str, book: str = "scroll") -> DataFrame:
+    """All rows, or those of scrolls that are not in Aramaic; a null scroll stays."""
+    name = mode.strip().lower()
+    if name in EVERY_BOOK:
+        return rows
+    if name not in HEBREW_ONLY:
+        raise ValueError(f"unknown choice of books: {mode}")
+    return rows.filter(~F.coalesce(F.col(book).isin(ARAMAIC), F.lit(False)))
+
+
+def reconstructed_shares(status: DataFrame) -> DataFrame:
+    """words, reconstructed, share of words that are wholly reconstructed (of ``word_status``)."""
+    return status.agg(F.count(F.lit(1)).alias("words"), F.count_if("fully_reconstructed").alias("reconstructed"), F.coalesce(F.try_divide(F.count_if("fully_reconstructed").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("share"))

@@ -26,6 +26,22 @@ def ragged_lacunae(lacunae: DataFrame) -> DataFrame:
     return lacunae.filter((F.size("visible_patterns") != n) | (F.size("source_word_nodes") != n))
 
 
+def not_rederived(lacunae: DataFrame, events: DataFrame) -> DataFrame:
+    """Nodes of lacunae that are no gap of that pattern in the events derived anew, or whose pattern has other than letters and ``?``."""
+    told = lacunae.select(F.explode(F.arrays_zip(F.col("source_word_nodes").alias("word_node"), F.col("visible_patterns").alias("pattern"))).alias("p")).select("p.*")
+    gaps = events.filter("kind = 'gap'").select("word_node", "pattern")
+    legal = F.coalesce(F.col("pattern").rlike(f"^[{X.LETTERS}?]*$"), F.lit(False))
+    return told.filter(legal).join(gaps, ["word_node", "pattern"], "left_anti").unionByName(told.filter(~legal))
+
+
+def checked_labels(metadata: dict, required: dict) -> dict:
+    """The metadata, or an error if a label that is required is absent or differs."""
+    wrong = sorted(k for k, v in required.items() if metadata.get(k) != v)
+    if wrong:
+        raise ValueError(f"labels differ: {', '.join(wrong)}")
+    return metadata
+
+
 def outside_split(chunks: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     """Chunks whose group is not in the split they name."""
     return chunks.join(splits, [key, "split"], "left_anti")

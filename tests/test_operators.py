@@ -187,9 +187,6 @@ def test_files(spark, tmp_path):
 def test_html():
     assert html.blocks("<ul><li class='q x'>a <b>b</b></li><li>c</li></ul><p>d<script>e</script></p>") == [("entry", "a b"), ("entry", "c"), ("paragraph", "d")]
     assert html.blocks("<li class='q'>a</li><li>c</li>", "q") == [("entry", "a")]
-    page = "<table><tr><td><span data-id='5'>אב</span><span class='alt'><span data-id='6'>ג</span></span></td></tr><tr><td><span data-id='0'>x</span><span data-id='7'>ד</span></td></tr></table>"
-    assert html.column_words(page) == [(0, 0, 5, "אב", False), (0, 1, 6, "ג", True), (1, 0, 7, "ד", False)]
-    assert html.column_words(None) == []
 
 
 def test_strided_spans(spark):
