@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import ranking as R
 from ..functions import text as X
 
 MASK, IGNORED = "[MASK]", -100
+MOST_DRAWN = 1000
 
 
 def _unit(seed: str, key: str, i: Column) -> Column:
@@ -41,12 +43,25 @@ def noise(docs: DataFrame, key: str, p: float, seed: str = "noise", words_col: s
     return docs.withColumn("noisy", F.transform(words_col, lambda w, i: F.when(_unit(f"{seed}{p}", key, i) < p, X.GAP).otherwise(w)))
 
 
-def scatter_mask(docs: DataFrame, key: str, share: float = 0.15, seed: str = "mask", words_col: str = "ws") -> DataFrame:
-    """masked, labels: whole words masked with probability ``share``; of those 80 % become the mask, 10 % the row's first word, 10 % stay."""
-    chosen = lambda i: _unit(seed, key, i) < share
+def scatter_mask(docs: DataFrame, key: str, vocabulary: Sequence[str], share: float = 0.15, seed: str = "mask", shortest: int = 1, words_col: str = "ws") -> DataFrame:
+    """masked, labels: words of ``shortest`` letters or more masked with probability ``share``; of those 80 % become the mask, 10 % a word drawn from the vocabulary, 10 % stay. A word that is not masked has no label.
+
+    The vocabulary goes into the plan, and holds ``MOST_DRAWN`` words at most.
+    """
+    if not 0 < len(vocabulary) <= MOST_DRAWN:
+        raise ValueError(f"a vocabulary to draw from has 1 to {MOST_DRAWN} words")
+    drawn = F.array(*(F.lit(w) for w in vocabulary))
+    chosen = lambda w, i: (_unit(seed, key, i) < share) & (F.length(w) >= shortest)
     how = lambda i: _unit(seed + "-how", key, i)
-    masked = F.transform(words_col, lambda w, i: F.when(~chosen(i), w).when(how(i) < 0.8, F.lit(MASK)).when(how(i) < 0.9, F.get(F.col(words_col), F.lit(0))).otherwise(w))
-    return docs.withColumn("masked", masked).withColumn("labels", F.transform(words_col, lambda w, i: F.when(chosen(i), w)))
+    which = lambda i: F.floor(_unit(seed + "-which", key, i) * len(vocabulary)).cast("int")
+    df = docs.withColumn("_v", drawn)
+    masked = F.transform(words_col, lambda w, i: F.when(~chosen(w, i), w).when(how(i) < 0.8, F.lit(MASK)).when(how(i) < 0.9, F.get("_v", which(i))).otherwise(w))
+    return df.withColumn("masked", masked).withColumn("labels", F.transform(words_col, lambda w, i: F.when(chosen(w, i), w))).drop("_v")
+
+
+def label_ids(labels: Column, ids: Column) -> Column:
+    """Ids of labels by a map from word to id; ``IGNORED`` where there is no label or it has no id."""
+    return F.transform(labels, lambda w: F.coalesce(F.when(w.isNotNull(), F.try_element_at(ids, w)), F.lit(IGNORED)))
 
 
 def span_mask(docs: DataFrame, key: str, share: float = 0.15, p: float = 0.3, longest: int = 10, seed: str = "span", words_col: str = "ws") -> DataFrame:

@@ -6,11 +6,13 @@ score is the logarithm of its share among the words seen next to the case's neig
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranking as R
 from ..functions import text as X
 from .context import maybe_broadcast
 
@@ -104,5 +106,63 @@ def char_model(words: DataFrame) -> DataFrame:
     return counts.select("w1", "candidate", F.round(F.log(F.col("n") / F.sum("n").over(Window.partitionBy("w1"))), 6).alias("score"))
 
 
+def letter_model(counted: DataFrame, k: int = 30) -> DataFrame:
+    """w1, candidate, score: the ``k`` likeliest letters or blanks after each, of words (word, n) that blanks surround."""
+    chars = F.concat(F.array(F.lit(" ")), F.split("word", ""), F.array(F.lit(" ")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.struct(F.get(chars, i).alias("w1"), F.get(chars, i + 1).alias("candidate")))
+    counts = counted.filter("word <> ''").select("n", F.explode(pairs).alias("p")).groupBy("p.w1", "p.candidate").agg(F.sum("n").alias("n"))
+    scored = counts.select("w1", "candidate", F.round(F.log(F.col("n") / F.sum("n").over(Window.partitionBy("w1"))), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("score"), "candidate"))
+    return scored.withColumn("_r", place).filter(F.col("_r") <= k).drop("_r")
+
+
+def letter_spans(model: dict[str, list[tuple[str, float]]], first: str, longest: int, width: int) -> list[tuple[str, float, int, int]]:
+    """text, score, size, rank of the beams of 2 to ``longest`` letters and blanks from a first letter; no blank ends a text or follows another."""
+    order = lambda b: (-b[1], b[0])
+    beams, out = [(first, 0.0)] if first else [], []
+    for size in range(2, longest + 1):
+        grown = sorted(((t + c, round(total + s, 6)) for t, total in beams for c, s in model.get(t[-1], ()) if not (c == " " == t[-1])), key=order)
+        out += [(t, total, size, rank) for rank, (t, total) in enumerate([g for g in grown if g[0][-1] != " "][:width])]
+        beams = grown[:width]
+    return out
+
+
+def unknown_letters(cases: DataFrame, model: DataFrame, key: str, longest: int = 18, width: int = 3) -> DataFrame:
+    """key, candidate, score, size, rank: spans of unknown length from the letter ``first`` of each case; a map.
+
+    ``model`` is a ``letter_model``: as many rows as there are letters times its ``k``, and so is handed to every task.
+    """
+    table: dict[str, list[tuple[str, float]]] = {}
+    for r in model.collect():
+        table.setdefault(r.w1, []).append((r.candidate, r.score))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for k, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if first not in known:
+                    known[first] = letter_spans(table, first or "", longest, width)
+                for row in known[first]:
+                    for col, value in zip(cols, (k, *row), strict=True):
+                        col.append(value)
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "candidate", "score", "size", "rank"])
+
+    return cases.select(F.col(key).cast("string"), "first").mapInArrow(run, f"{key} string, candidate string, score double, size int, rank int")
+
+
+def letter_ranks(cases: DataFrame, model: DataFrame) -> DataFrame:
+    """letters, hit1, hit5: place of each letter of the gold words among the letters after the one before it."""
+    place = F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("score"), "candidate")) - 1
+    ranks = model.filter("candidate <> '$'").select("w1", "candidate", place.alias("rank"))
+    chars = F.concat(F.array(F.lit("^")), F.split("gold", ""))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.struct(F.get(chars, i).alias("w1"), F.get(chars, i + 1).alias("candidate")))
+    asked = cases.filter("gold <> ''").groupBy("gold").agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(pairs).alias("p")).groupBy("p.w1", "p.candidate").agg(F.sum("n").alias("n"))
+    met = asked.join(ranks, ["w1", "candidate"], "left")
+    rate = lambda k: F.round(R.percent(F.sum(F.when(F.col("rank") < k, F.col("n")).otherwise(0)), F.sum("n")), 4)
+    return met.agg(F.sum("n").alias("letters"), rate(1).alias("hit1"), rate(5).alias("hit5"))
+
+
 def legal_rows(rows: DataFrame, slots_left: Column) -> DataFrame:
     return rows.filter(X.legal_prefix(F.col("phrase"), slots_left))

@@ -45,3 +45,27 @@ def shown_candidates(candidates: Column, gold: Column) -> Column:
 
 def merged_candidates(constrained: Column, raw: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.concat(constrained, raw)), 1, most)
+
+
+#: A missing frequency is the commonest where the rarest come first, and the rarest where they come last.
+LAST_RARE, LAST_COMMON = 999_999, -1
+
+
+def sorted_cases(rows: DataFrame, mode: str, frequency: str, word: str, key: str) -> DataFrame:
+    """Rows by frequency (rarity-asc, rarity-desc), by word (alpha), or by key; equals by key."""
+    orders = {
+        "rarity-asc": [F.coalesce(F.col(frequency), F.lit(LAST_RARE)).asc()],
+        "rarity-desc": [F.coalesce(F.col(frequency), F.lit(LAST_COMMON)).desc()],
+        "alpha": [F.collate(F.col(word), "UNICODE").asc()],
+    }
+    return rows.orderBy(*orders.get(mode, []), key)
+
+
+def worst_first(rows: DataFrame, category: str, frequency: str, gold: str) -> DataFrame:
+    """Failures by class, then the rarest first, then by word."""
+    return rows.orderBy(category, F.col(frequency).asc_nulls_first(), gold)
+
+
+def top_sources(rows: DataFrame, source: str, k: int = 10) -> DataFrame:
+    """source, n of the ``k`` sources with most rows, equals by name."""
+    return rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), source).limit(k)

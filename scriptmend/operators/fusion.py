@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ def rank_ensemble(a: DataFrame, b: DataFrame, case: str, weight: Column) -> Data
     return met.withColumn("score", F.round(weight * F.coalesce("x", F.lit(ABSENT)) + (1 - weight) * F.coalesce("y", F.lit(ABSENT)), 6))
 
 
-def overlap_ensemble(a: DataFrame, b: DataFrame, case: str, top_b: int = 5) -> DataFrame:
-    """Candidates in both lists (the first ``top_b`` of b) by the mean of min-max scores; b itself where none is."""
+def overlap_ensemble(a: DataFrame, b: DataFrame, case: str, top_b: int = 5, top_a: int = 1000) -> DataFrame:
+    """Candidates in both lists (the first ``top_a`` of a and ``top_b`` of b) by the mean of min-max scores; b itself where none is."""
     scale = lambda d: d.withColumn("s", R.scaled(F.col("score"), F.min("score").over(Window.partitionBy(case)), F.max("score").over(Window.partitionBy(case))))
-    x = scale(a).select(case, "candidate", F.col("s").alias("x"))
+    x = scale(a.filter(F.col("rank") < top_a)).select(case, "candidate", F.col("s").alias("x"))
     y = scale(b.filter(F.col("rank") < top_b)).select(case, "candidate", F.col("s").alias("y"))
     both = x.join(y, [case, "candidate"]).select(case, "candidate", F.round((F.col("x") + F.col("y")) / 2, 6).alias("score"))
     return both.unionByName(y.join(both.select(case), case, "left_anti").select(case, "candidate", F.round("y", 6).alias("score")))
@@ -67,3 +69,16 @@ def logistic_rerank(features: DataFrame, weights: dict[str, float], bias: float)
     """p: logistic score of fixed weights."""
     z = sum((F.col(c) * w for c, w in weights.items()), F.lit(bias))
     return features.withColumn("p", F.round(R.logistic(z), 6))
+
+
+def logistic_fit(features: DataFrame, label: str, columns: Sequence[str], c: float = 1.0) -> tuple[dict[str, float], float]:
+    """Weights and bias of a logistic model; both labels weigh the same in all, ``c`` is the inverse of the penalty on squared weights."""
+    found = features.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("ones")).first()
+    n, ones = found["n"], found["ones"] or 0
+    if not 0 < ones < n:
+        raise ValueError("a fit takes rows of both labels")
+    y = F.col(label).cast("double")
+    rows = features.select(*columns, y.alias("_y"), F.when(y == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))).alias("_w"))
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(rows)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1 / (c * n), standardization=False, maxIter=1000, tol=1e-10).fit(rows)
+    return dict(zip(columns, (float(x) for x in model.coefficients), strict=True)), float(model.intercept)

@@ -105,3 +105,28 @@ def enough_context(words: Column, at: Column, around: int, least: int, keep) ->
     """Whether ``least`` words that ``keep`` takes stand around a place, itself left out."""
     window, _ = kept_window(words, at, around, keep)
     return F.size(window) - 1 >= least
+
+
+def numbered(rows: DataFrame, group: str, order: Sequence[str | Column], keep: Column, prefix: str = "case-") -> DataFrame:
+    """Rows that ``keep`` takes, with row_id, a place from 1 in their group before any was left out, so that numbers have gaps, and case_name, ``prefix`` and a number without gaps."""
+    w = Window.partitionBy(group).orderBy(*order)
+    kept = rows.withColumn("row_id", F.row_number().over(w)).filter(keep)
+    return kept.withColumn("case_name", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(group).orderBy("row_id")).cast("string")))
+
+
+def segments(words: Column, stride: int = 15) -> Column:
+    """Texts of ``stride`` words each, the last shorter."""
+    starts = F.sequence(F.lit(1), F.size(words), F.lit(stride))
+    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(stride)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def shown_run(left: Column, run: Column, right: Column, mark: tuple[str, str] = ("⟦", "⟧")) -> Column:
+    """A run of words between marks, with its contexts; a run without any text is shown as three dots."""
+    inner = F.array_join(F.filter(run, lambda w: F.coalesce(w, F.lit("")) != ""), " ")
+    shown = F.concat(F.lit(mark[0]), F.when(inner == "", "...").otherwise(inner), F.lit(mark[1]))
+    return F.array_join(F.concat(left, F.array(shown), right), " ")
+
+
+def latest(rows: DataFrame, version: str) -> DataFrame:
+    """Rows of the greatest version."""
+    return rows.join(F.broadcast(rows.agg(F.max(version).alias(version))), version)

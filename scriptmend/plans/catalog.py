@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, lookup, ranking, relational
+from . import analysis, corpus, lookup, measures, ranking, relational
 
 FLAGSHIP = "parallel_lookup"
 
-QUERIES = corpus.QUERIES | lookup.QUERIES | ranking.QUERIES | relational.QUERIES | analysis.QUERIES
+QUERIES = corpus.QUERIES | lookup.QUERIES | ranking.QUERIES | relational.QUERIES | analysis.QUERIES | measures.QUERIES | {"char_beam": (ranking.char_beam, measures.CHAR_BEAM)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

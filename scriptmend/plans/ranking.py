@@ -161,10 +161,10 @@ def paired_sign_test(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cer_boundary_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-word phrases (gold and the next word) against the greedy phrase of the model, in ASCII only."""
+    """Two-word phrases (gold and the next word) against the greedy phrase of the model."""
     c, a, _ = _both(spark, sf)
     top = a.filter("rank = 0").select("case_id", "candidate")
-    rows = c.join(top, "case_id", "left").select("case_id", F.concat_ws(" ", "gold", "rw").alias("gold"), F.coalesce(F.concat_ws(" ", "candidate", "rw"), F.lit("")).alias("said")).filter(~(F.col("gold").rlike("[^ -~]") | F.col("said").rlike("[^ -~]")))
+    rows = c.join(top, "case_id", "left").select("case_id", F.concat_ws(" ", "gold", "rw").alias("gold"), F.coalesce(F.concat_ws(" ", "candidate", "rw"), F.lit("")).alias("said"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(X.error_rate(F.col("said"), F.col("gold"))), 6).alias("cer"), F.round(F.avg(X.boundary_f1(F.col("said"), F.col("gold"))), 6).alias("f1"), F.count_if(F.col("said") == F.col("gold")).alias("exact"))
 
 
@@ -256,6 +256,9 @@ for _k in range(7):
     _TERM /= _k + 1
 _U = "('0x' || substr(md5(concat('42:', b, ':', {})), 1, 8))::BIGINT / 4294967296.0"
 
+#: Lower-case words with a byte a letter, as DuckDB's distance counts bytes: accented letters of the tables as capitals.
+_ONE_BYTE = "translate({}, 'ßàáâäæçèéêëíìîïñóòôöøúùûüœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
 QUERIES = {
     "topk_metrics": (topk_metrics, f"{RANKING}, u AS (SELECT 'next' AS system, case_id, candidate, rank FROM a UNION ALL SELECT 'prev', case_id, candidate, rank FROM b), h AS (SELECT system, case_id, min(rank) AS gold_rank FROM u JOIN cases USING (case_id) WHERE candidate = gold GROUP BY ALL), f AS (SELECT system, case_id FROM (SELECT DISTINCT system FROM u), cases) SELECT system, {_SUMMARY} FROM f LEFT JOIN h USING (system, case_id) GROUP BY system"),
     "single_vs_multi_rollup": (single_vs_multi_rollup, f"{RANKING}, {_ranks('SELECT * FROM a')}, k AS (SELECT *, {_BUCKET} AS bucket, CASE WHEN length(gold) <= 3 THEN 'short' ELSE 'long' END AS klass FROM gr) SELECT coalesce(klass, 'all') AS klass, coalesce(bucket, 'all') AS bucket, count(*) AS n, {hits()} FROM k GROUP BY ROLLUP (klass, bucket)"),
@@ -276,13 +279,12 @@ QUERIES = {
     "micro_macro": (micro_macro, f"{RANKING}, {_ranks('SELECT * FROM a')}, p AS (SELECT {_BUCKET} AS bucket, count(*) FILTER (gold_rank < 10) AS h, count(*) AS n FROM gr GROUP BY 1) SELECT round(100.0 * sum(h) / sum(n), 4) AS micro, round(avg(100.0 * h / n), 4) AS macro, count(*) AS buckets FROM p"),
     "bootstrap_ci": (bootstrap_ci, f"{RANKING}, {_ranks('SELECT * FROM a')}, p AS (SELECT item, count(*) FILTER (gold_rank < 10) AS hits, count(*) AS cases FROM gr GROUP BY item), d AS (SELECT b, hits, cases, {_U.format('item')} AS u FROM p, (SELECT unnest(range(200)) AS b)), t AS (SELECT b, hits, cases, CASE {' '.join(_CUTS)} ELSE 7 END AS times FROM d), r AS (SELECT b, round(coalesce(100.0 * sum(hits * times) / nullif(sum(cases * times), 0), 0), 6) AS rate FROM t GROUP BY b), o AS (SELECT rate, row_number() OVER (ORDER BY rate, b) - 1 AS r FROM r) SELECT max(rate) FILTER (r = 5) AS low, max(rate) FILTER (r = 194) AS high, count(*) AS rounds FROM o"),
     "paired_sign_test": (paired_sign_test, f"{RANKING}, x AS (SELECT case_id, coalesce((SELECT min(rank) FROM a WHERE a.case_id = c.case_id AND candidate = gold) < 10, false)::INT AS x, coalesce((SELECT min(rank) FROM b WHERE b.case_id = c.case_id AND candidate = gold) < 10, false)::INT AS y FROM cases c), d AS (SELECT case_id, y - x AS d FROM x WHERE x <> y), s AS (SELECT b, sum(d * CASE WHEN {_U.format('case_id')} < 0.5 THEN -1 ELSE 1 END) AS t, sum(d) AS seen FROM d, (SELECT unnest(range(200)) AS b) GROUP BY b) SELECT round(100.0 * max(seen) / (SELECT count(*) FROM cases), 4) AS delta, round(count(*) FILTER (abs(t) >= abs(seen)) / 200, 4) AS p FROM s"),
-    "cer_boundary_f1": (cer_boundary_f1, f"{RANKING}, r AS (SELECT c.case_id, gold || ' ' || rw AS gold, coalesce(candidate || ' ' || rw, rw) AS said FROM cases c LEFT JOIN (SELECT case_id, candidate FROM a WHERE rank = 0) t USING (case_id)), f AS (SELECT *, list_filter(range(length(said)), lambda i: said[i + 1] = ' ') AS p, list_filter(range(length(gold)), lambda i: gold[i + 1] = ' ') AS g FROM r WHERE NOT regexp_matches(gold || said, '[^ -~]')) SELECT count(*) AS n, round(avg(levenshtein(said, gold) / greatest(1, length(gold))), 6) AS cer, round(avg(CASE WHEN len(p) + len(g) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(p, g)) / (len(p) + len(g)) END), 6) AS f1, count(*) FILTER (said = gold) AS exact FROM f"),
+    "cer_boundary_f1": (cer_boundary_f1, f"{RANKING}, r AS (SELECT c.case_id, gold || ' ' || rw AS gold, coalesce(candidate || ' ' || rw, rw) AS said FROM cases c LEFT JOIN (SELECT case_id, candidate FROM a WHERE rank = 0) t USING (case_id)), f AS (SELECT *, list_filter(range(length(said)), lambda i: said[i + 1] = ' ') AS p, list_filter(range(length(gold)), lambda i: gold[i + 1] = ' ') AS g FROM r) SELECT count(*) AS n, round(avg(levenshtein({_ONE_BYTE.format('said')}, {_ONE_BYTE.format('gold')}) / greatest(1, length(gold))), 6) AS cer, round(avg(CASE WHEN len(p) + len(g) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(p, g)) / (len(p) + len(g)) END), 6) AS f1, count(*) FILTER (said = gold) AS exact FROM f"),
     "miss_classifier": (miss_classifier, f"{RANKING}, fr AS (SELECT word, count(*) AS freq FROM (SELECT unnest(ws) AS word FROM docs) GROUP BY word), l AS (SELECT case_id, list(candidate ORDER BY rank) AS cands FROM a WHERE rank < 5 GROUP BY case_id), k AS (SELECT CASE WHEN cands[1] = gold THEN 'hit' WHEN length(gold) <= 2 THEN 'particle_or_too_short' WHEN coalesce(freq, 0) <= 3 THEN 'rare_or_unseen' WHEN len(list_filter(coalesce(cands, []), lambda c: length(c) = length(gold))) > 0 THEN 'same_length_semantic' ELSE 'other' END AS category FROM cases LEFT JOIN l USING (case_id) LEFT JOIN fr ON word = gold) SELECT category, count(*) AS n, CASE category WHEN 'particle_or_too_short' THEN 'short function word' WHEN 'rare_or_unseen' THEN 'rare or unseen word' WHEN 'same_length_semantic' THEN 'plausible word of the same length' ELSE 'other' END AS issue FROM k GROUP BY category"),
     "span_status": (span_status, f"{RANKING}, {_ranks('SELECT * FROM a')}, z AS (SELECT case_id, coalesce(gold_rank < 1, false) AS t1, coalesce(gold_rank < 5, false) AS t5 FROM gr) SELECT CASE WHEN x.t1 AND y.t1 THEN 'all_top1' WHEN x.t5 AND y.t5 THEN 'all_top5' WHEN x.t5 OR y.t5 THEN 'partial' ELSE 'none' END AS status, count(*) AS n FROM z x JOIN z y ON y.case_id = x.case_id + 1 GROUP BY 1"),
     "left_to_right_beam": (left_to_right_beam, f"""WITH {DOCS}, {ITEMS}, {CASES}, {BIGRAMS}, s AS (SELECT item AS item_id, lw FROM cases WHERE pos = 1), c AS (SELECT w1, w2 AS candidate, count(*) AS n FROM bigrams GROUP BY ALL), p AS (SELECT w1, candidate, round(ln(n / sum(n) OVER (PARTITION BY w1)), 6) AS score FROM c), m AS (SELECT w1, candidate, score FROM p QUALIFY row_number() OVER (PARTITION BY w1 ORDER BY score DESC, candidate) <= 10),
 b1 AS (SELECT item_id, candidate AS phrase, candidate AS last, score AS total FROM s JOIN m ON lw = w1 WHERE candidate <> lw QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, candidate) <= 3),
 b2 AS (SELECT item_id, phrase || ' ' || candidate AS phrase, round(total + score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(total + score, 6) DESC, phrase || ' ' || candidate) - 1 AS rank FROM b1 JOIN m ON last = w1 WHERE candidate <> last QUALIFY rank < 3) SELECT * FROM b2"""),
-    "char_beam": (char_beam, None),
     "pseudo_perplexity": (pseudo_perplexity, f"WITH {DOCS}, {ITEMS}, {CASES}, {BIGRAMS}, j AS (SELECT w1, w2, count(*) AS n FROM bigrams GROUP BY ALL), s AS (SELECT w1, count(*) AS m FROM bigrams GROUP BY w1), v AS (SELECT count(*) AS v FROM s), l AS (SELECT item, ln((coalesce(n, 0) + 1) / (coalesce(m, 0) + v)) AS lp FROM cases LEFT JOIN j ON j.w1 = lw AND j.w2 = gold LEFT JOIN s ON s.w1 = lw, v) SELECT item, count(*) AS n, round(avg(lp), 6) AS mean_log, round(exp(-avg(lp)), 3) AS perplexity FROM l GROUP BY item"),
     "calibration": (calibration, f"{RANKING}, r AS (SELECT round(exp(score), 6) AS p, (candidate = gold)::INT AS ok FROM a JOIN cases USING (case_id) WHERE rank = 0) SELECT least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(ok), 6) AS accuracy FROM r GROUP BY 1"),
 }

@@ -68,7 +68,7 @@ def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Data
 
 def split_manifest(spark: SparkSession, path: str) -> DataFrame:
     """scroll, split from a manifest's scroll_splits."""
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "scroll_splits MAP<STRING,ARRAY<STRING>>").alias("m"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "scroll_splits MAP<STRING,ARRAY<STRING>>").alias("m"))
     return doc.select(F.explode("m.scroll_splits").alias("split", "names")).select(F.explode("names").alias("scroll"), "split")
 
 
@@ -77,7 +77,7 @@ def sectioned_metrics(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered within one small file, which is read whole.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
     section = F.last(F.when(F.trim("line").endswith(":"), F.rtrim(F.trim("line"), F.lit(":"))), ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     rows = whole.withColumn("section", section).filter(F.col("line").contains("="))
     pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(r"(\S+?)=(\S+)"), F.lit(1)).alias("bucket"), F.regexp_extract_all("line", F.lit(r"(\S+?)=(\S+)"), F.lit(2)).alias("value"))
@@ -103,3 +103,38 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
 def manifest(counts: DataFrame, parameters: dict) -> str:
     """A manifest as JSON: schema version, parameters, counts by name."""
     return json.dumps({"schema_version": 1, "parameters": parameters, "counts": {r[0]: r[1] for r in counts.collect()}}, ensure_ascii=False, indent=2)
+
+
+def report(title: str, sections: dict[str, DataFrame], notes: dict[str, str] | None = None) -> str:
+    """A report in Markdown: a title, and for each section its note and its table."""
+    parts = [f"# {title}"]
+    for name, df in sections.items():
+        note = (notes or {}).get(name)
+        parts += [f"## {name}", *([note] if note else []), markdown_table(df).rstrip("\n")]
+    return "\n\n".join(parts) + "\n"
+
+
+def write_site(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as JSON lines in a folder of its own, nulls kept."""
+    for name, df in tables.items():
+        write_jsonl(df, f"{folder}/{name}")
+
+
+def read_site(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Those tables again, registered as views of their names."""
+    out = {name: read_jsonl(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()}
+    for name, df in out.items():
+        df.createOrReplaceTempView(name)
+    return out
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """path, text: files as they are."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def link(base: str, *parts: Column, **query: Column) -> Column:
+    """An address under ``base``: path parts and query values are escaped; a null part or value gives null."""
+    path = F.concat(F.lit(base.rstrip("/")), *(F.concat(F.lit("/"), F.replace(F.url_encode(p.cast("string")), F.lit("+"), F.lit("%20"))) for p in parts))
+    pairs = [F.concat(F.lit(f"{'&' if i else '?'}{k}="), F.url_encode(v.cast("string"))) for i, (k, v) in enumerate(query.items())]
+    return F.concat(path, *pairs) if pairs else path

@@ -159,7 +159,7 @@ def test_augmenters(spark):
     assert 0 < left.filter("size(augmented) >= 10").count() + left.count() and left.filter("size(augmented) >= 10").count() == 0
     share = augment.span_mask(docs, "doc_id").agg(F.avg(F.size("masked_at") / 10)).first()[0]
     assert 0.08 < share < 0.2
-    masked = augment.scatter_mask(docs, "doc_id")
+    masked = augment.scatter_mask(docs, "doc_id", ["xx"])
     assert masked.filter(F.size("masked") != F.size("labels")).count() == 0
     assert augment.substitution(docs, "doc_id", {"one": "uno"}, 1.0).first().augmented[0] == "uno"
     gone = augment.noise(docs, "doc_id", 0.25).agg(F.avg(F.size(F.filter("noisy", lambda w: w == X.GAP)))).first()[0]
