@@ -138,7 +138,7 @@ def _stretches(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Rows dealt by bucket, the first column ascending in each: the columns packed."""
-    order = np.lexsort((columns[0], bucket))
+    _, order = SX.dense(bucket, columns[0])
     columns = tuple(c[order] for c in columns)
     for b, own in _stretches(bucket[order]):
         yield b, [packed(c[own], k == 0) for k, c in enumerate(columns)]
@@ -162,7 +162,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             least.append(m >> _U(64 - SENT_BITS))
             doc.append(ids[owner[piece]])
         m, d = np.concatenate([np.empty(0, _U), *least]), np.concatenate([np.empty(0, np.int64), *doc])
-        order = np.lexsort((d, m))
+        _, order = SX.dense(m, d)
         m, d = m[order], d[order]
         same = np.append(False, (m[1:] == m[:-1]) & (d[1:] == d[:-1]))
         m, d = m[~same], d[~same]
@@ -189,7 +189,7 @@ def _shared(table: pa.Table) -> pa.Table:
     m, s = _joined(table, "least", True), _joined(table, "state")
     d = np.concatenate([np.empty(0, np.int64), *(unpacked(x).view(np.int64) + b for x, b in zip(table.column("doc").to_pylist(), table.column("base").to_pylist(), strict=True))])
     told, open_ = s == _TOLD, np.flatnonzero(s != _TOLD)
-    order = open_[np.lexsort((d[open_], m[open_]))]
+    order = open_[SX.dense(m[open_], d[open_])[1]]
     mo, do = m[order], d[order]
     edge = np.flatnonzero(np.append(True, mo[1:] != mo[:-1]))[: len(mo)]
     size = np.diff(np.append(edge, len(mo)))

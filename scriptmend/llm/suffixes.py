@@ -25,12 +25,28 @@ def words(text: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), ">u8", text.data, 0, (1,))
 
 
-def _dense(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks from 1 of pairs, equal pairs alike, and the order."""
-    order = np.lexsort((low, high))
-    h, lo = high[order], low[order]
-    new = np.ones(len(order), np.int64)
-    new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+def dense(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks from 1 of fewer than 2^32 pairs, equal pairs alike, and an order.
+
+    Sorted by ``high`` alone, and where that ties once more by both as one number: numpy sorts one number far faster than two keys.
+    """
+    order = np.argsort(high)
+    h = high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = h[1:] != h[:-1]
+    tied = np.append(~new[1:], False) | ~new if len(order) else new
+    live = np.flatnonzero(tied)
+    if len(live):
+        own = order[live]
+        x = low[own]
+        by = np.argsort(x)
+        x = x[by]
+        small = np.empty(len(x), np.uint64)
+        small[by] = np.cumsum(np.append(False, x[1:] != x[:-1]))
+        key = (np.cumsum(new)[live].astype(np.uint64) << np.uint64(32)) | small
+        turn = np.argsort(key)
+        order[live], key = own[turn], key[turn]
+        new[live] = np.append(True, key[1:] != key[:-1])
     ranks = np.empty(len(order), np.int64)
     ranks[order] = np.cumsum(new)
     return ranks, order
@@ -45,11 +61,11 @@ class Cover:
         self.at = np.flatnonzero(_IN[np.arange(n + PERIOD) % PERIOD])
         w = self.words
         self.rank = np.zeros(len(text) + DEPTH, np.int64)
-        ranks, order = _dense(w[self.at].astype(np.uint64), w[self.at + 8].astype(np.uint64))
+        ranks, order = dense(w[self.at].astype(np.uint64), w[self.at + 8].astype(np.uint64))
         step = PERIOD
         while step < DEPTH:
             self.rank[self.at] = ranks
-            ranks, order = _dense(ranks, self.rank[self.at + step])
+            ranks, order = dense(ranks, self.rank[self.at + step])
             step *= 2
         self.rank[self.at] = ranks
         self.order = self.at[order]
@@ -71,7 +87,7 @@ class Cover:
     def _sorted(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
         if not len(at):
             return at
-        ranks, order = _dense(first, self.words[at + 8].astype(np.uint64))
+        ranks, order = dense(first, self.words[at + 8].astype(np.uint64))
         at, group = at[order], ranks[order]
         live = np.arange(len(at))
         while len(live):

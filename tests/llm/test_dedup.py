@@ -199,3 +199,14 @@ def test_samples_estimate_similarity():
     sampler = nd.Sampler(2000)
     x, y = (sampler.samples(g, w, np.array([0, len(g)]))[0] for g, w in (a, b))
     assert abs((x == y).mean() - nd.similarity(a, b)) < 0.05
+
+
+def test_dense_ranks():
+    rng = np.random.default_rng(9)
+    for n, top in ((0, 1), (1, 1), (2, 1), (500, 3), (500, 40), (5000, 1 << 62)):
+        high, low = rng.integers(0, top, n).astype(np.uint64) * np.uint64(3), rng.integers(-top, top, n)
+        ranks, order = sx.dense(high, low)
+        pairs = list(zip(high.tolist(), low.tolist(), strict=True))
+        place = {pair: k + 1 for k, pair in enumerate(sorted(set(pairs)))}
+        assert ranks.tolist() == [place[pair] for pair in pairs]
+        assert sorted(order.tolist()) == list(range(n)) and [pairs[k] for k in order] == sorted(pairs)
