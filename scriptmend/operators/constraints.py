@@ -100,3 +100,15 @@ def unique_wildcard(masked: DataFrame, verses: DataFrame, key: str, group: str)
     like = F.replace(F.replace(F.replace(F.col("pattern"), F.lit("_"), F.lit("\\_")), F.lit("%"), F.lit("\\%")), F.lit("?"), F.lit("_"))
     met = asked.join(known, [group, "len"]).withColumn("_like", like).filter(F.expr("verse LIKE _like"))
     return met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("_n = 1").select(key, "verse")
+
+
+#: Regimes of evidence: unknown length, approximate length, and both known exactly; 1 where word boundaries are predicted.
+REGIMES = ("U0", "U1", "P0", "P1", "O1")
+
+
+def open_regimes(candidate: Column, gold: Column, predicted: Column, tolerance: int = 1) -> Column:
+    """Regimes that admit a phrase. ``predicted`` is the phrase whose word boundaries the model takes; only O1 sees the gold word's."""
+    sizes = lambda p: F.transform(F.split(p, " "), F.length)
+    bounds, about = sizes(candidate) == sizes(predicted), F.abs(F.length(candidate) - F.length(gold)) <= tolerance
+    tests = dict(zip(REGIMES, (F.lit(True), bounds, about, bounds & about, sizes(candidate) == sizes(gold)), strict=True))
+    return F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())), lambda x: x.isNotNull())

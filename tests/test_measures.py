@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptmend.operators import augment, candidates, facets, fusion, metrics, shaping
+from scriptmend.operators import augment, candidates, constraints, facets, fusion, metrics, shaping
 from scriptmend.sources import files
 
 
@@ -121,3 +121,10 @@ def test_site(spark, tmp_path):
     assert sorted(map(tuple, files.sectioned_metrics(spark, str(tmp_path / "metrics.txt")).collect())) == [("nonbib", "one", "1", 4.0), ("sect", "all", "1", 2.5), ("sect", "all", "2", 3.0)]
     got = rows.orderBy("k").select(files.link("https://x.org/", F.lit("a b"), F.col("k"), q=F.lit("c&d")).alias("u"), files.link("https://x.org", F.col("w")).alias("v")).collect()
     assert got[0].u == "https://x.org/a%20b/1?q=c%26d" and got[1].v is None
+
+
+def test_regimes(spark):
+    rows = [("ab c", ["U0", "U1", "P0", "P1"]), ("a bc", ["U0", "P0", "O1"]), ("abcd efgh", ["U0"]), ("abcd", ["U0", "P0"])]
+    df = spark.createDataFrame(rows, "phrase string, want array<string>")
+    got = df.filter(constraints.open_regimes(F.col("phrase"), F.lit("x yz"), F.lit("xy z")) != F.col("want"))
+    assert got.count() == 0
