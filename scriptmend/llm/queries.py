@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, near_dup, pii, quality, secrets, substring_dedup, token_counts
+from . import alignment, ann, bpe, chat, decontamination, divergence, mixing, near_dup, pii, quality, secrets, substring_dedup, token_counts
 from .common import tokenizer_path
 from .pipeline import run
 
@@ -62,10 +63,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scans, op2_suffix_dedup, op3_bpe_round_trip, op4_pii, op5_chat_windows, op6_host_quality, op7_inverted_multi_index, op8_weighted_minhash, op9_token_counts, op10_mixing)
+    own = (op1_secret_scans, op2_suffix_dedup, op3_bpe_round_trip, op4_pii, op5_chat_windows, op6_host_quality, op7_inverted_multi_index, op8_weighted_minhash, op9_token_counts, op10_mixing, op11_source_divergence, op12_decontamination, op13_token_alignment)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_windows": chat.ORACLE_SQL, "op6_host_quality": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op5_chat_windows": chat.ORACLE_SQL, "op6_host_quality": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL}
