@@ -55,7 +55,7 @@ def visible_segments(display: pd.Series) -> pd.DataFrame:
 
 def matches_visible(candidate: Column, segments: Column, anchored_left: Column, anchored_right: Column) -> Column:
     """Three tests of their own: first segment in front if anchored, last at the end if anchored, all in order."""
-    first, last = F.get(segments, F.lit(0)), F.element_at(segments, -1)
+    first, last = F.get(segments, F.lit(0)), F.get(segments, F.size(segments) - 1)
     in_order = F.rlike(candidate, F.array_join(segments, ".*"))
     return (~anchored_left | candidate.startswith(first)) & (~anchored_right | candidate.endswith(last)) & in_order
 
@@ -82,15 +82,42 @@ def reading_reason(reading: Column, fits: Column) -> Column:
     )
 
 
+def _known_letters(segments: Column, anchored_left: Column, anchored_right: Column, size: Column) -> Column:
+    """(position, letter) that a word of ``size`` letters must have: the first segment from the start if anchored, the last one up to the end."""
+    first, last = F.get(segments, F.lit(0)), F.get(segments, F.size(segments) - 1)
+    at = lambda text, before: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct((i + before).cast("int").alias("pos"), F.substr(text, i, F.lit(1)).alias("letter")))
+    none = F.array().cast("array<struct<pos:int,letter:string>>")
+    side = lambda on, text, before: F.when(on & (F.length(text) > 0), at(text, before)).otherwise(none)
+    return F.array_distinct(F.concat(side(anchored_left, first, F.lit(0)), side(anchored_right, last, size - F.length(last))))
+
+
 def constrained_pairs(vocabulary: DataFrame, targets: DataFrame, tolerance: int = 1) -> DataFrame:
-    """target, candidate of every word within a target's length and letters: joined on (length, first letter) where the start is visible, on length else, then tested."""
-    lengths = F.sequence(F.greatest(F.lit(1), F.col("estimate") - tolerance), F.col("estimate") + tolerance)
-    asked = targets.withColumn("len", F.explode(lengths)).withColumn("head", F.when(F.col("anchored_left"), F.substring(F.get("segments", F.lit(0)), 1, 1)))
-    words = vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len"), F.substring("word", 1, 1).alias("initial"))
-    near = asked.filter("head is not null").join(words.withColumnRenamed("initial", "head"), ["len", "head"])
-    wide = asked.filter("head is null").join(words, "len")
-    met = near.select("target", "candidate", "segments", "anchored_left", "anchored_right").unionByName(wide.select("target", "candidate", "segments", "anchored_left", "anchored_right"))
-    return met.filter(matches_visible(F.col("candidate"), F.col("segments"), F.col("anchored_left"), F.col("anchored_right"))).select("target", "candidate")
+    """target, candidate of every word within a target's length and letters, by an index of postings.
+
+    A posting has the words of a length with given letters at two positions. Letters at each position are counted over the
+    vocabulary (a table of lengths, positions and letters); each distinct constraint and length takes the postings of its two rarest
+    known letters, which are made only for the pairs of positions that some constraint takes; what they hold is tested. Constraints that no
+    known letter binds meet all words of their lengths. Many targets of one constraint are matched once.
+
+    Defined results: a constraint without segments has all words of its lengths, or none if it is anchored; one whose end segments don't fit
+    into a length has no words of it; words may be of any length; repeated words and targets are repeated.
+    """
+    named = ["segments", "anchored_left", "anchored_right", "estimate"]
+    lengths = F.sequence(F.greatest(F.lit(1), F.col("estimate") - tolerance), F.greatest(F.lit(1), F.col("estimate") + tolerance))
+    asked = targets.select(*named).distinct().withColumn("len", F.explode(lengths)).filter(F.abs(F.col("len") - F.col("estimate")) <= tolerance)
+    asked = asked.withColumn("known", _known_letters(F.col("segments"), F.col("anchored_left"), F.col("anchored_right"), F.col("len"))).filter(~F.exists("known", lambda k: (k["pos"] < 1) | (k["pos"] > F.col("len"))))
+    words = vocabulary.select(F.col("word").alias("candidate"), F.length("word").alias("len"))
+    letters = words.select("len", F.posexplode(F.split("candidate", "")).alias("pos", "letter")).groupBy("len", (F.col("pos") + 1).cast("int").alias("pos"), "letter").agg(F.count(F.lit(1)).alias("n"))
+    held = asked.filter(F.size("known") > 0).select(*named, "len", F.size("known").alias("size"), F.explode("known").alias("k")).select(*named, "len", "size", "k.pos", "k.letter")
+    # a letter that no word has there leaves a constraint without words
+    rarest = held.join(letters, ["len", "pos", "letter"]).groupBy(*named, "len", "size").agg(F.sort_array(F.collect_list(F.struct("n", "pos", "letter"))).alias("ks")).filter(F.size("ks") == F.col("size"))
+    one, two = F.get("ks", F.lit(0)), F.coalesce(F.get("ks", F.lit(1)), F.get("ks", F.lit(0)))
+    keys = rarest.select(*named, "len", one["pos"].alias("p"), one["letter"].alias("a"), two["pos"].alias("q"), two["letter"].alias("b"))
+    postings = words.join(keys.select("len", "p", "q").distinct(), "len").withColumn("a", F.substr("candidate", F.col("p"), F.lit(1))).withColumn("b", F.substr("candidate", F.col("q"), F.lit(1)))
+    near = keys.join(postings, ["len", "p", "q", "a", "b"]).select(*named, "candidate")
+    wide = asked.filter(F.size("known") == 0).join(words, "len").select(*named, "candidate")
+    met = near.unionByName(wide).filter(matches_visible(F.col("candidate"), F.col("segments"), F.col("anchored_left"), F.col("anchored_right")))
+    return targets.select("target", *named).join(met, named).select("target", "candidate")
 
 
 def unique_wildcard(masked: DataFrame, verses: DataFrame, key: str, group: str) -> DataFrame:
