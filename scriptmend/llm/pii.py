@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "id")
 
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Begins where a run of digits does: from inside it would meet the same dot. So each run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -286,15 +287,22 @@ def trained(n: int = 240, seed: int = 7) -> Field:
 # --- decoding -----------------------------------------------------------------------------------------
 
 
-def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Best tags of a batch (step x tag x chain, padded at the end) as chain x step; steps beyond a chain's length give 0."""
+_SOURCES = [[int(i) for i in np.flatnonzero(_ALLOWED[:, j])] for j in range(len(TAGS))]
+
+
+def exact(x: np.ndarray) -> np.ndarray:
+    """Scores as multiples of 2^-20, whose sums over up to 10^8 words have no rounding: however a chain is cut, its scores are the same."""
+    return np.round(np.asarray(x, np.float64) * 2**20) / 2**20
+
+
+def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """Best tags of a batch (step x tag x chain, padded at the end) as chain x step; steps beyond a chain's length give 0. ``first`` (tag x chain) is what leads to the first step, ``ends`` the last tags, if known."""
     steps, k, n = emissions.shape
-    best = emissions[0] + _OUTSIDE[:, None]
+    best = emissions[0] + (_OUTSIDE[:, None] if first is None else first)
     back = np.zeros((steps, k, n), np.int8)
-    sources = [[int(i) for i in np.flatnonzero(_ALLOWED[:, j])] for j in range(k)]
     for t in range(1, steps):
         new, came = np.empty_like(best), back[t]
-        for j, from_tags in enumerate(sources):
+        for j, from_tags in enumerate(_SOURCES):
             top = best[from_tags[0]] + moves[from_tags[0], j]
             came[j] = from_tags[0]
             for i in from_tags[1:]:
@@ -309,7 +317,7 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
             came[:, over] = np.arange(k, dtype=np.int8)[:, None]
         best = new
     out = np.zeros((n, steps), np.int8)
-    tag = best.argmax(0)
+    tag = best.argmax(0) if ends is None else ends
     rows = np.arange(n)
     for t in range(steps - 1, -1, -1):
         out[:, t] = np.where(t < lengths, tag, 0)
@@ -317,24 +325,82 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     return out
 
 
+def through(emissions: np.ndarray, first: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Best scores (tag before x last tag x chain) of chains that begin with what leads to each first tag from each tag before."""
+    best = first + emissions[0]
+    for t in range(1, len(emissions)):
+        new = np.empty_like(best)
+        for j, from_tags in enumerate(_SOURCES):
+            top = best[:, from_tags[0]] + moves[from_tags[0], j]
+            for i in from_tags[1:]:
+                np.maximum(top, best[:, i] + moves[i, j], out=top)
+            new[:, j] = top + emissions[t][j]
+        over = t >= lengths
+        if over.any():
+            new[:, :, over] = best[:, :, over]
+        best = new
+    return best
+
+
+def viterbi_blocks(emissions_of: Callable[[int, int], np.ndarray], size: int, moves: np.ndarray, block: int = 256, at_once: int = 1024) -> np.ndarray:
+    """Best tags of one long chain of ``size`` steps, ``emissions_of(a, b)`` (step x tag) giving those of some.
+
+    All blocks are stepped through side by side, each from every tag that may stand before it; the blocks' tag by tag scores are then joined in
+    order, which settles the tags at their borders, and each block is decoded between those.
+    """
+    k, n = len(moves), -(-size // block)
+
+    def lots() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for a in range(0, n, at_once):
+            b = min(n, a + at_once)
+            rows = np.zeros(((b - a) * block, k))
+            own = emissions_of(a * block, min(size, b * block))
+            rows[: len(own)] = own
+            yield a, b, rows.reshape(b - a, block, k).transpose(1, 2, 0).copy(), np.minimum(block, size - np.arange(a, b) * block)
+
+    came, total = np.zeros((n, k), np.int8), None
+    for a, b, emissions, lengths in lots():
+        first = np.repeat(moves[:, :, None], b - a, 2)
+        if a == 0:
+            first[:, :, 0] = _OUTSIDE
+        scores = through(emissions, first, lengths, moves)
+        for t in range(b - a):
+            if total is None:
+                total = scores[0, :, t]
+                continue
+            to = total[:, None] + scores[:, :, t]
+            came[a + t], total = to.argmax(0), to.max(0)
+    ends = np.zeros(n, np.int64)
+    ends[-1] = total.argmax()
+    for t in range(n - 1, 0, -1):
+        ends[t - 1] = came[t, ends[t]]
+    out = np.zeros(n * block, np.int8)
+    for a, b, emissions, lengths in lots():
+        first = moves[ends[np.arange(a, b) - 1]].T.copy()
+        if a == 0:
+            first[:, 0] = _OUTSIDE
+        out[a * block : b * block] = viterbi(emissions, lengths, moves, first, ends[a:b]).reshape(-1)
+    return out[:size]
+
+
 class Decoder:
     """A field, with tables of its emissions by word code, bounded and emptied when full.
 
-    The chains are whole lines. A line without a word that can belong to a span at all (one with a digit, or an
+    The chains are whole lines, those of more than ``LONG`` words decoded in blocks. A line without a word that can belong to a span at all (one with a digit, or an
     "at" or a "dot" in any spelling) has none and is passed over.
     """
 
-    CELLS, WORDS, CHARS = 60_000, 400_000, 16_000_000
+    CELLS, WORDS, CHARS, LONG = 60_000, 400_000, 16_000_000, 1024
 
     def __init__(self, field: Field) -> None:
-        self.field, self.moves = field, field.moves.astype(np.float32)
+        self.field, self.moves = field, exact(field.moves)
         self._clear()
 
     def _clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.shapes: dict[str, int] = {"": 0}
         self.chars = 0
-        self.table = np.zeros((64, 3, len(TAGS)), np.float32)
+        self.table = np.zeros((64, 3, len(TAGS)))
         self.worth = np.zeros(64, bool)
 
     def _code(self, word: str) -> int:
@@ -344,13 +410,25 @@ class Decoder:
             at = self.shapes[s] = len(self.shapes)
             if at == len(self.table):
                 self.table, self.worth = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.worth))
-            self.table[at] = self.field.row(s)
+            self.table[at] = exact(self.field.row(s))
             self.worth[at] = "9" in s or s in ("cue-at", "marked-at", "cue-dot", "marked-dot")
             self.chars += len(s)
         self.codes[word] = at
         self.chars += len(word)
         return at
 
+    def _long(self, codes: np.ndarray) -> np.ndarray:
+        """Tags of one long line."""
+
+        def emissions(a: int, b: int) -> np.ndarray:
+            some = self.table[codes[a:b], 0].copy()
+            some[max(0, 1 - a) :] += self.table[codes[max(0, a - 1) : b - 1], 1]
+            after = codes[a + 1 : b + 1]
+            some[: len(after)] += self.table[after, 2]
+            return some
+
+        return viterbi_blocks(emissions, len(codes), self.moves)
+
     def lines(self, lines: list[list[str]]) -> dict[int, np.ndarray]:
         """Line -> tags, for the lines that hold any tag but O."""
         if len(self.codes) > self.WORDS or self.chars > self.CHARS:
@@ -367,7 +445,12 @@ class Decoder:
         line_of = np.searchsorted(stops, hits, side="right")
         owner = np.unique(line_of)
         begins, lengths_all = stops[owner] - sizes[owner], sizes[owner]
+        for k in np.flatnonzero(lengths_all > self.LONG).tolist():
+            tags = self._long(flat[begins[k] : begins[k] + lengths_all[k]])
+            if tags.any():
+                out[int(owner[k])] = tags
         order = np.argsort(lengths_all, kind="stable")
+        order = order[lengths_all[order] <= self.LONG]
         at = 0
         while at < len(order):
             end = at + 1
