@@ -18,8 +18,8 @@ the documents, whatever their number, and holds the rest for equally rare.
 Banding (20 bands of 5) misses a pair of similarity 0.8 with probability 0.0004.
 
 Defined results: a null text is empty; a text of under five words has no shingle and only exact copies;
-ties go to the smaller id; repeated rows share a class; rows of a null id have a null class; of different texts
-under one id the least stands for all; an empty table gives an empty result; extra columns are not read; whole texts are shingled.
+ties go to the smaller id; repeated rows share a class; rows of a null id have a null class; different texts
+under one id are classed each; an empty table gives an empty result; extra columns are not read; whole texts are shingled.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, forget, materialize, texts
@@ -421,10 +421,8 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.join(moved, F.col("label") == F.col("was"), "left").select("doc_id", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), rep_id (the smallest id of its very text) and n_links (links that its text was found to have with other texts; these join a class, not all its pairs are measured) of every document."""
-    whole = texts(docs, id_col, text_col)
-    own = whole.filter("doc_id is not null")
+def _classes(own: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, class_id, rep_id and n_links of texts whose ids are no null and stand for one text each."""
     weights = Weights(*document_frequencies(own))
     held = own.sparkSession.sparkContext.broadcast(weights)
     signed = materialize(own.mapInArrow(lambda it: _sign(it, held.value), _SIGNED), "signed")
@@ -435,15 +433,49 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     counts = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = reps.join(labels, reps.rep == labels.doc_id, "left").join(counts, F.col("rep") == F.col("id"), "left")
     named = materialize(named.select("digest", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    known = signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("rep_id"), "n_links")
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("rep_id"), "n_links")
+
+
+def _ids_clash(rows: DataFrame) -> bool:
+    """Whether an id stands for unlike texts."""
+    same = rows.filter("doc_id is not null").groupBy("doc_id").agg((F.min(F.md5("text")) != F.max(F.md5("text"))).alias("clash"))
+    return not same.filter("clash").isEmpty()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, unique: bool | None = None) -> DataFrame:
+    """doc_id, class_id (the smallest id of its class), rep_id (the smallest id of its very text) and n_links (links that its text was found to have with other texts; these join a class, not all its pairs are measured) of every document.
+
+    Where an id stands for unlike texts, each row has a class of its text: rows are numbered, and the numbers classed. Two classes
+    whose smallest id is the same one then show it as class_id both. ``unique`` says that no id does, and saves the look.
+    """
+    whole = texts(docs, id_col, text_col)
+    own = whole.filter("doc_id is not null")
+    if not unique and _ids_clash(whole):
+        keyed = materialize(own.withColumn("key", F.monotonically_increasing_id()), "keyed")
+        found = materialize(_classes(keyed.select(F.col("key").alias("doc_id"), "text"), threshold), "found")
+        ids = keyed.select("key", F.col("doc_id").alias("id"))
+        met = materialize(found.join(ids, F.col("doc_id") == F.col("key")).select("id", F.col("class_id").alias("c"), F.col("rep_id").alias("r"), "n_links"), "met")
+        least = lambda by, name: met.groupBy(by).agg(F.min("id").alias(name))
+        known = met.join(least("c", "class_id"), "c").join(least("r", "rep_id"), "r").select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links")
+    else:
+        known = _classes(own, threshold)
     nothing = F.lit(None).cast("long")
     return known.unionByName(whole.filter("doc_id is null").select("doc_id", nothing.alias("class_id"), nothing.alias("rep_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with all its columns: the one whose id is the class; of repeated rows of it, one. Rows of a null id stay."""
-    keep = materialize(classes(docs, id_col, text_col, threshold).filter("doc_id = class_id").groupBy(F.col("class_id").alias("__sm_keep")).agg((F.count(F.lit(1)) > 1).alias("__sm_more")), "keep")
+    """One document of each class, with all its columns: the one whose id is the class; of repeated rows of it, one, the first by a hash of the row. Unlike texts under one id are documents of their own. Rows of a null id stay."""
+    null = docs.filter(F.col(id_col).isNull())
+    if _ids_clash(texts(docs, id_col, text_col)):
+        keyed = materialize(docs.filter(F.col(id_col).isNotNull()).withColumn("__sm_key", F.monotonically_increasing_id()), "keyed")
+        found = classes(keyed, "__sm_key", text_col, threshold, True).select(F.col("doc_id").alias("__sm_key"), F.col("class_id").alias("__sm_class"))
+        order = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col("__sm_key").alias("key"))
+        first = keyed.select("__sm_key", order.alias("__sm_order")).join(found, "__sm_key").groupBy("__sm_class").agg(F.min("__sm_order").alias("o")).select(F.col("o.key").alias("__sm_key"))
+        return keyed.join(_side(materialize(first, "keep"), 8), "__sm_key", "left_semi").select(*docs.columns).unionByName(null)
+    keep = materialize(classes(docs, id_col, text_col, threshold, True).filter("doc_id = class_id").groupBy(F.col("class_id").alias("__sm_keep")).agg((F.count(F.lit(1)) > 1).alias("__sm_more")), "keep")
     met = docs.join(_side(keep, 16), F.col(id_col).cast("long") == F.col("__sm_keep"))
     once = met.filter(~F.col("__sm_more")).select(*docs.columns)
-    repeated = met.filter("__sm_more").select(*docs.columns).dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
+    # a few rows, all of one text and id: the first by a hash of the whole row, so that reruns agree
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
+    repeated = met.filter("__sm_more").withColumn("__sm_first", F.row_number().over(first)).filter("__sm_first = 1").select(*docs.columns)
+    return once.unionByName(repeated).unionByName(null)

@@ -7,6 +7,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from scriptmend.llm import near_dup as nd
 from scriptmend.llm import substring_dedup as sd
 from scriptmend.llm import suffixes as sx
@@ -161,7 +163,27 @@ def test_long_text_and_clashing_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.class_id) for r in nd.classes(df).collect())
     assert got == [(0, None), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
-    assert nd.keep_one(df).count() == 3
+    # both texts of id 3 stay: one was lost before
+    assert nd.keep_one(df).count() == 4
+
+
+def test_unlike_texts_under_one_id(spark):
+    say = lambda seed, n=40: " ".join(f"w{seed}x{k}" for k in range(n))
+    a, b, c = say(1), say(2), say(3)
+    rows = [(1, a, "A"), (1, b, "B"), (2, c, "C"), (3, b + " end", "B2"), (4, a, "A2"), (1, a, "A"), (5, None, "N"), (None, a, "Z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string").repartition(3)
+    for table in (df, df.orderBy(F.desc("class_id"))):
+        kept = sorted((tuple(r) for r in nd.keep_one(table).collect()), key=repr)
+        # B and its near copy 3 are one class, of which the smaller id stays; A and its copies another
+        assert kept == sorted([(1, a, "A"), (1, b, "B"), (2, c, "C"), (5, None, "N"), (None, a, "Z")], key=repr)
+    got = sorted(((r.doc_id, r.class_id, r.rep_id, r.n_links) for r in nd.classes(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, 0), (1, 1, 1, 1), (2, 2, 2, 0), (3, 1, 3, 1), (4, 1, 1, 0), (1, 1, 1, 0), (5, 5, 5, 0), (None, None, None, 0)], key=repr)
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", x) for x in "pqrst"] + [(2, "other words of some length here", "u")], "doc_id long, text string, more string")
+    first = sorted(tuple(r) for r in nd.keep_one(df.repartition(3)).collect())
+    assert len(first) == 2 and first == sorted(tuple(r) for r in nd.keep_one(df.orderBy("more").coalesce(1)).collect())
 
 
 def test_recall_on_documents(spark):
