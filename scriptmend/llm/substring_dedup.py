@@ -15,9 +15,9 @@ once, equal fragments are sent once, for the smallest of their documents, and se
 So a passage that a third of all documents share costs a row a batch, not a row a document. The number of
 buckets follows the input's bytes. Nothing is collected or broadcast but that number.
 
-Defined results: a null text is empty; texts under 50 bytes keep all; rows with one id are one document, and
-their texts must be equal; rows of a null id keep all; extra columns are not read; long texts are cut into
-overlapping pieces, so that memory doesn't grow with them.
+Defined results: a null text is empty; texts under 50 bytes keep all; rows of one id don't remove from each
+other, each is judged on its own text, be the texts equal or not; rows of a null id keep all; extra columns are
+not read; long texts are cut into overlapping pieces, so that memory doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffixes as SX
-from .common import OWN
+from .common import OWN, materialize
 
 LENGTH, GRAM, LONGEST_RUN, PIECE, BUCKET_BYTES = 50, 16, 64, 1 << 20, 1 << 21
+#: Places in the n-th of the unlike texts of one id are told from n << PLACE_BITS on.
+PLACE_BITS = 40
 _U = np.uint64
 
 
@@ -208,6 +210,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     for batch in batches:
         ids = batch.column(0).to_numpy().astype(np.int64)
         shared = batch.column(2)
+        shift = batch.column(3).to_numpy().astype(np.int64) << PLACE_BITS
         known: dict[bytes, int] = {}
         entries: list[tuple[int, int, int]] = []  # fragment, document, start
         for text, ends, owner, begin in pieces([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]):
@@ -220,7 +223,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 if edges[p] == edges[p + 1]:
                     continue
                 hit = np.isin(m[own] >> _U(64 - SENT_BITS), shared[int(owner[p])].values.to_numpy().view(_U))
-                doc, move = int(ids[owner[p]]), int(begin[p] - base[p])
+                doc, move = int(ids[owner[p]]), int(begin[p] - base[p] + shift[owner[p]])
                 for a, n in zip(first[own][hit].tolist(), count[own][hit].tolist(), strict=True):
                     fragment = raw[a : a + n + LENGTH - 1]
                     entries.append((known.setdefault(fragment, len(known)), doc, a + move))
@@ -344,9 +347,13 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[] for _ in range(5)]
-        for text, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+        for text, number, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3, 4)), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            spans = merged(starts.values.to_numpy(), ends.values.to_numpy()) if starts.is_valid else []
+            spans = []
+            if starts.is_valid:
+                first, last = starts.values.to_numpy(), ends.values.to_numpy()
+                own, move = first >> PLACE_BITS == number.as_py(), number.as_py() << PLACE_BITS
+                spans = merged(first[own] - move, last[own] - move)
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(raw[at:a])
@@ -364,18 +371,30 @@ def bucket_count(own: DataFrame) -> int:
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__sm_id, __sm_text). Names of their own make this the same plan wherever it is used, so that its exchange is reused."""
-    return docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.coalesce(F.col(text_col), F.lit("")).alias(OWN + "text"))
+    """(__sm_id, __sm_text, __sm_number): the number tells unlike texts of one id apart, and is 0 where there is one.
 
-
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end): stretches, in bytes, that go; they may overlap."""
-    own = _own(docs, id_col, text_col).filter(F.col(OWN + "id").isNotNull())
+    Texts are told apart by 64-bit hashes. Only the ids that have several are numbered, in a table of their own.
+    """
+    number, mark = OWN + "number", OWN + "hash"
+    own = docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.coalesce(F.col(text_col), F.lit("")).alias(OWN + "text"))
+    hashed = own.filter(F.col(OWN + "id").isNotNull()).select(OWN + "id", F.xxhash64(OWN + "text").alias(mark))
+    several = hashed.groupBy(OWN + "id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select(OWN + "id")
+    if several.isEmpty():
+        return own.withColumn(number, F.lit(0).cast("long"))
+    order = F.row_number().over(Window.partitionBy(OWN + "id").orderBy(mark)) - 1
+    numbers = materialize(hashed.join(several, OWN + "id", "left_semi").distinct().withColumn(number, order.cast("long")), "numbers")
+    met = own.withColumn(mark, F.xxhash64(OWN + "text")).join(numbers, [OWN + "id", mark], "left")
+    return met.select(OWN + "id", OWN + "text", F.coalesce(number, F.lit(0)).alias(number))
+
+
+def _found(own: DataFrame) -> DataFrame:
+    """(doc_id, start, end): stretches, in bytes, that go; they may overlap. Those of a text of number n lie from n << PLACE_BITS on."""
+    own = own.filter(F.col(OWN + "id").isNotNull())
     buckets = bucket_count(own)
     offered = own.mapInArrow(lambda it: _offer(it, buckets), _SENT)
     shared = offered.groupBy("bucket").applyInArrow(_shared, "doc_id long, least long")
     told = shared.groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list("least").alias("least"))
-    sent = own.join(told, OWN + "id").select(OWN + "id", OWN + "text", "least").mapInArrow(lambda it: _send(it, buckets), _FRAGMENTS)
+    sent = own.join(told, OWN + "id").select(OWN + "id", OWN + "text", "least", OWN + "number").mapInArrow(lambda it: _send(it, buckets), _FRAGMENTS)
     return sent.groupBy("bucket").applyInArrow(_suffix_bucket, "doc_id long, start long, end long")
 
 
@@ -385,8 +404,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The documents are dealt by id once: both joins read the same exchange.
     """
     own = _own(docs, id_col, text_col)
-    found = repeated_stretches(docs, id_col, text_col)
-    spans = found.groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list(F.struct("start", "end")).alias("s")).select(OWN + "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    joined = own.filter(F.col(OWN + "id").isNotNull()).join(spans, OWN + "id", "left").select(OWN + "id", OWN + "text", "start", "end")
-    alone = own.filter(F.col(OWN + "id").isNull()).select(OWN + "id", OWN + "text", *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
+    spans = _found(own).groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list(F.struct("start", "end")).alias("s")).select(OWN + "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    read = (OWN + "id", OWN + "text", OWN + "number", "start", "end")
+    joined = own.filter(F.col(OWN + "id").isNotNull()).join(spans, OWN + "id", "left").select(*read)
+    alone = own.filter(F.col(OWN + "id").isNull()).select(*read[:3], *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
     return joined.unionByName(alone).mapInArrow(_finish, _OUT)

@@ -71,6 +71,23 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == [(-1, 0), (1, 0), (1, 0), (2, len(text))]
 
 
+def test_unlike_texts_of_one_id_are_judged_each(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = word(400), word(156), word(300)
+    rows = [(1, a), (2, "zz" + a), (2, b), (2, b), (3, b + c), (3, c), (4, None), (4, a[100:260] + c), (None, a), (5, "short"), (5, a[:49])]
+    want = []
+    for n, (i, t) in enumerate(rows):
+        before = [r for r in rows if i is not None and r[0] is not None and r[0] < i]
+        want.append((i, *brute_repeats([*before, (i, t)])[i]) if i is not None else (None, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()))
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").withColumn("__sm_number", F.lit(7)).repartition(5)
+        got = [tuple(r)[:5] for r in sd.remove_repeats(df).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    removed = {(r[0], r[1]): r[2] for r in want}
+    assert removed[2, 402] == 400 and removed[2, 156] == 0 and removed[3, 456] == 156 and removed[3, 300] == 0
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(700))) for i in range(4)]
