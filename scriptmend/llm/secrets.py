@@ -105,10 +105,9 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], bool]]:
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "private": 0.5, "key": 0.5, "access": 0.3, "api": 0.3, "client": 0.2, "encryption": 0.4, "signing": 0.4, "db": 0.1, "conn": 0.2, "connection": 0.2}
 _DAMPING = {"public": -0.6, "id": -0.3, "name": -0.5, "url": -0.4, "path": -0.6, "file": -0.6, "count": -0.8, "limit": -0.8, "length": -0.8, "type": -0.6, "field": -0.6, "label": -0.6, "max": -0.6, "min": -0.6, "primary": -0.5, "foreign": -0.5, "sort": -0.5}
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|.*(?:example|changeme|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined).*)\Z")
-
-
-_MARKED = re.compile(r"(?i)example|changeme|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined")
+#: Forms of a whole value, and words that stand alone in it, that mark a value which is to be filled in.
+_SHAPED = re.compile(r"(?i)\A(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%)\Z")
+_MARKED = re.compile(r"(?i)(?<![a-z0-9])(?:example|changeme|placeholder|your|dummy|redacted|none|null|true|false|undefined)(?![a-z0-9])")
 
 
 def name_score(name: str) -> float:
@@ -130,7 +129,7 @@ def _worth(counts: dict[str, int], n: int) -> float:
 
 def value_score(value: str) -> float:
     """0 to 1: how much a literal looks like key material rather than a word, a path or a placeholder."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or _SHAPED.match(value) or _MARKED.search(value) or any(c.isspace() for c in value):
         return 0.0
     return _worth(Counter(value), len(value))
 
