@@ -23,7 +23,7 @@ not read; long texts are cut into overlapping pieces, so that memory doesn't gro
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,13 @@ def runs(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
     return least[first], first, count, piece
 
 
-def pieces(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a column in UTF-8, one at a time: a batch may hold hundreds of megabytes."""
+    for value in column.cast(pa.binary()):
+        yield value.as_py() or b""
+
+
+def pieces(values: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in lots of about PIECE bytes: bytes, ends of pieces, the text of each and where in it the piece begins; long texts overlap by LENGTH - 1."""
     lot: list[bytes] = []
     owner: list[int] = []
@@ -159,7 +165,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         least, doc = [], []
-        for text, ends, owner, _ in pieces([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]):
+        for text, ends, owner, _ in pieces(_bytes(batch.column(1))):
             m, _, _, piece = runs(text, ends)
             least.append(m >> _U(64 - SENT_BITS))
             doc.append(ids[owner[piece]])
@@ -213,7 +219,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         shift = batch.column(3).to_numpy().astype(np.int64) << PLACE_BITS
         known: dict[bytes, int] = {}
         entries: list[tuple[int, int, int]] = []  # fragment, document, start
-        for text, ends, owner, begin in pieces([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]):
+        for text, ends, owner, begin in pieces(_bytes(batch.column(1))):
             m, first, count, piece = runs(text, ends)
             base = np.append(0, ends)
             edges = np.searchsorted(piece, np.arange(len(ends) + 1))
@@ -364,33 +370,29 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.list_(pa.list_(pa.int64())))], names=_OUT.names)
 
 
-def bucket_count(own: DataFrame) -> int:
-    spark = own.sparkSession
-    total = own.agg(F.sum(F.octet_length(OWN + "text"))).first()[0] or 0
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-
-
-def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__sm_id, __sm_text, __sm_number): the number tells unlike texts of one id apart, and is 0 where there is one.
+def _own(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(__sm_id, __sm_text, __sm_number) and the number of buckets for its bytes. The number tells unlike texts of one id apart, and is 0 where there is one.
 
     Texts are told apart by 64-bit hashes. Only the ids that have several are numbered, in a table of their own.
     """
     number, mark = OWN + "number", OWN + "hash"
     own = docs.select(F.col(id_col).cast("long").alias(OWN + "id"), F.coalesce(F.col(text_col), F.lit("")).alias(OWN + "text"))
-    hashed = own.filter(F.col(OWN + "id").isNotNull()).select(OWN + "id", F.xxhash64(OWN + "text").alias(mark))
-    several = hashed.groupBy(OWN + "id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select(OWN + "id")
-    if several.isEmpty():
-        return own.withColumn(number, F.lit(0).cast("long"))
+    hashed = own.filter(F.col(OWN + "id").isNotNull()).select(OWN + "id", F.xxhash64(OWN + "text").alias(mark), F.octet_length(OWN + "text").cast("long").alias("size"))
+    ids = hashed.groupBy(OWN + "id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.sum("size").alias("size"))
+    total, several = ids.agg(F.sum("size"), F.count_if(F.col("lo") != F.col("hi"))).first()
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // BUCKET_BYTES))
+    if not several:
+        return own.withColumn(number, F.lit(0).cast("long")), buckets
     order = F.row_number().over(Window.partitionBy(OWN + "id").orderBy(mark)) - 1
-    numbers = materialize(hashed.join(several, OWN + "id", "left_semi").distinct().withColumn(number, order.cast("long")), "numbers")
+    told_apart = hashed.join(ids.filter("lo <> hi"), OWN + "id", "left_semi").select(OWN + "id", mark).distinct()
+    numbers = materialize(told_apart.withColumn(number, order.cast("long")), "numbers")
     met = own.withColumn(mark, F.xxhash64(OWN + "text")).join(numbers, [OWN + "id", mark], "left")
-    return met.select(OWN + "id", OWN + "text", F.coalesce(number, F.lit(0)).alias(number))
+    return met.select(OWN + "id", OWN + "text", F.coalesce(number, F.lit(0)).alias(number)), buckets
 
 
-def _found(own: DataFrame) -> DataFrame:
+def _found(own: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, start, end): stretches, in bytes, that go; they may overlap. Those of a text of number n lie from n << PLACE_BITS on."""
     own = own.filter(F.col(OWN + "id").isNotNull())
-    buckets = bucket_count(own)
     offered = own.mapInArrow(lambda it: _offer(it, buckets), _SENT)
     shared = offered.groupBy("bucket").applyInArrow(_shared, "doc_id long, least long")
     told = shared.groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list("least").alias("least"))
@@ -403,8 +405,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The documents are dealt by id once: both joins read the same exchange.
     """
-    own = _own(docs, id_col, text_col)
-    spans = _found(own).groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list(F.struct("start", "end")).alias("s")).select(OWN + "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    own, buckets = _own(docs, id_col, text_col)
+    spans = _found(own, buckets).groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.collect_list(F.struct("start", "end")).alias("s")).select(OWN + "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     read = (OWN + "id", OWN + "text", OWN + "number", "start", "end")
     joined = own.filter(F.col(OWN + "id").isNotNull()).join(spans, OWN + "id", "left").select(*read)
     alone = own.filter(F.col(OWN + "id").isNull()).select(*read[:3], *(F.lit(None).cast("array<bigint>").alias(n) for n in ("start", "end")))
