@@ -33,6 +33,9 @@ def test_column_markup(spark):
 def test_entries(spark):
     page = "<ul><li class='q'><a href='/transcriptions/4Q%20x/c1'>a</a></li><li class='q b'><a href='/transcriptions/no/c1'>b</a></li><li><a href='/transcriptions/no/'>c</a></li><li class='q'><a href='/other/no/x'>d</a><a href='/transcriptions/1Q1/'>e</a></li></ul>"
     assert html.entry_names(page, "q", "b") == ["4Q x", "1Q1"]
+    nested = "<ul><li class=q><ul><li class=b><a href='/transcriptions/in/x'>i</a></li></ul><a href='/transcriptions/out/x'>o</a></li></ul><a href='/transcriptions/after/x'>z</a>"
+    assert html.entry_names(nested, "q") == ["out"] and html.entry_names(nested, "b") == ["in"] and html.entry_names(None, "q") == []
+    assert html.entry_names("<li class=q><a href='/transcriptions//x'>e</a><a>n</a><a href='/transcriptions/n'>n</a>", "q") == []
     pages = spark.createDataFrame([("p", page), ("n", None)], "k string, html string")
     assert [tuple(r) for r in html.parse_entries(pages, "k", "html", "q", "b").orderBy("n").collect()] == [("p", 0, "4Q x"), ("p", 1, "1Q1")]
 
