@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, lookup, measures, protocol, ranking, relational, scoring, subwords
+from . import analysis, control, corpus, lookup, measures, protocol, ranking, relational, scoring, subwords
 
 FLAGSHIP = "parallel_lookup"
 
-QUERIES = corpus.QUERIES | lookup.QUERIES | ranking.QUERIES | relational.QUERIES | analysis.QUERIES | measures.QUERIES | subwords.QUERIES | scoring.QUERIES | protocol.QUERIES | {"char_beam": (ranking.char_beam, measures.CHAR_BEAM)}
+QUERIES = corpus.QUERIES | lookup.QUERIES | ranking.QUERIES | relational.QUERIES | analysis.QUERIES | measures.QUERIES | subwords.QUERIES | scoring.QUERIES | protocol.QUERIES | control.QUERIES | {"char_beam": (ranking.char_beam, measures.CHAR_BEAM)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
