@@ -33,22 +33,16 @@ def seen_before(docs: DataFrame, key: str, split: str = "split", words_col: str
     part; null words are none, and a text without words is no near-duplicate; columns beside these are not read. Two
     shingles of equal 64-bit hash are taken for one.
 
-    A shingle that many texts hold is one row a text, and its splits are folded before they are shuffled; the join can
-    be split where it is skewed, as what follows it is summed by document.
+    A shingle's splits, and its places in a document, are folded before they are shuffled, so one that many texts hold is
+    one row a text in the join, which can be split where it is skewed, as what follows it is summed by document.
     """
     bit = F.create_map(*(F.lit(x) for pair in BITS.items() for x in pair))[F.col(split)]
-    own = docs.select(F.col(key).alias("k"), F.col(split).alias("split"), bit.alias("bit"), F.coalesce(F.col(words_col), F.array().cast("array<string>")).alias("w")).filter("bit is not null")
-    held = own.select("k", "split", "bit", F.array_sort(shingles(F.col("w"), n)).alias("s"))
-    splits = held.select(F.explode(F.array_distinct("s")).alias("h"), "bit").groupBy("h").agg(F.bit_or("bit").alias("bits"))
-    # equal hashes stand together once sorted: where each begins, and how many there are
-    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    later = held.filter(F.col("bit") > 1)
-    runs = later.filter(F.size("s") > 0).select("k", "bit", "s", begins.alias("b"))
-    counted = F.transform("b", lambda at, i: F.struct(F.get("s", at).alias("h"), (F.coalesce(F.get("b", i + 1), F.size("s")) - at).alias("n")))
-    asked = runs.select("k", "bit", F.explode(counted).alias("x")).select("k", "bit", "x.h", "x.n")
-    met = asked.join(splits, "h").filter(F.col("bits").bitwiseAND(F.col("bit") - 1) != 0)
-    found = met.groupBy("k").agg(F.sum("n").alias("n_seen"), F.count(F.lit(1)).alias("n_shared"))
-    sizes = later.select("k", "split", F.size("s").cast("long").alias("n_positions"), F.size(F.array_distinct("s")).cast("long").alias("n_shingles"))
-    out = sizes.join(found, "k", "left").fillna(0, ["n_seen", "n_shared"])
+    own = docs.select(F.col(key).alias("k"), F.col(split).alias("split"), bit.alias("bit"), F.col(words_col).alias("w")).filter("bit is not null")
+    each = own.filter(F.size("w") > 0).select("k", "bit", F.explode(shingles(F.col("w"), n)).alias("h"))
+    splits = each.groupBy("h").agg(F.bit_or("bit").alias("bits"))
+    asked = each.filter(F.col("bit") > 1).groupBy("k", "bit", "h").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.col("bits").bitwiseAND(F.col("bit") - 1) != 0
+    counts = asked.join(splits, "h").groupBy("k").agg(F.sum("n").alias("n_positions"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n_seen"), F.count(F.lit(1)).alias("n_shingles"), F.count_if(seen).alias("n_shared"))
+    out = own.filter(F.col("bit") > 1).select("k", "split").join(counts, "k", "left").fillna(0, ["n_positions", "n_seen", "n_shingles", "n_shared"])
     near = (F.col("n_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_shingles"))
     return out.select(F.col("k").alias(key), "split", "n_positions", "n_seen", "n_shingles", "n_shared", near.alias("near_duplicate"))
