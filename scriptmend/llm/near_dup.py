@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ WORDS, SIMILARITY, BANDS, ROWS, SLOTS = 5, 0.8, 20, 5, 1 << 20
 AGREE, MOST_LEADERS = 0.64, 64
 MANY, DEEP, TABLES, EQUAL_BITS = 512, 20, 400, 436
 BROADCAST_BYTES, DEEP_TEXTS = 8 << 20, 5_000
+FEW, SLACK = 8, 1e-6
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _LOT = 1 << 20
@@ -294,6 +296,35 @@ def _deeper(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists, bits], names=["doc_id", "keys", "bits"])
 
 
+def _weighed(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each text: its hash and weight."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for i, grams, times in shingles(batch.column("text").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), ids[i])), pa.array(grams.view(np.int64)), pa.array(weights.of(grams, times))], names=["doc_id", "gram", "w"])
+
+
+def rare_and_common(texts: DataFrame, held: Broadcast, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of texts (doc_id, text): the pairs (a, b) that share a rare shingle, one that ``FEW`` of them hold at most, and
+    (doc_id, total, common), weights of all and of the other shingles, of texts that can have a link without.
+
+    Texts that share no rare shingle share ``min(common)`` at most, and have a similarity of at most that by the rest of both
+    totals. So a text whose common shingles weigh under ``threshold`` of it has links of the first kind alone. Each
+    set of holders is taken once, however many shingles they share: at most ``(FEW - 1) / 2`` pairs a shingle.
+    """
+    grams = materialize(texts.mapInArrow(lambda it: _weighed(it, held.value), "doc_id long, gram long, w float"), "grams")
+    often = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("gram", F.lit(True).alias("often")), "often")
+    marked = grams.join(_side(often, 16), "gram", "left")
+    shares = marked.groupBy("doc_id").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("often"), F.col("w")).otherwise(0)).alias("common"))
+    shares = materialize(shares.filter(F.col("common") >= (threshold - SLACK) * F.col("total")), "shares")
+    holders = marked.filter("often is null").groupBy("gram").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
+    pairs = holders.select(F.explode(F.flatten(F.transform("ids", lambda a, k: F.transform(F.slice("ids", k + 2, FEW), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    pairs = materialize(pairs.select("p.a", "p.b").distinct(), "pairs")
+    forget(grams)
+    forget(often)
+    return pairs, shares
+
+
 def _equal_bits(a: Column, b: Column) -> Column:
     return MANY - sum((F.bit_count(a[f"b{k}"].bitwiseXOR(b[f"b{k}"])) for k in range(_LONGS)), F.lit(0))
 
@@ -335,12 +366,16 @@ def linked(own: DataFrame, alone: DataFrame, weights: Weights, threshold: float)
     bucket and leader:
 
     1. All members of a band's bucket meet the least of them.
-    2. Members of a bucket that still lie in several components are sampled ``MANY`` times and go to finer
+    2. Of members of a bucket that still lie in several components, pairs that share a rare shingle meet (see
+       ``rare_and_common``). What each changed in a common text is rare, so that texts that have much, but not enough, in
+       common make no pair, however many they are.
+    3. Those that can have links without a rare shingle are sampled ``MANY`` times and go to finer
        buckets: ``TABLES`` tables of ``DEEP`` samples each. A pair of similarity 0.8 misses all of them with
        probability 0.01, one of 0.82 with 0.0005, while one of 0.6 shares 0.015 of them on average, so that texts
        that have much, but not enough, in common part.
-    3. In each finer bucket, members of the smallest components meet those of other components and leave,
+    4. In each finer bucket, members of the smallest components meet those of other components and leave,
        until one component is left; 1, 4, 16 and then ``MOST_LEADERS`` a round. Two members of one component need not meet.
+       Pairs whose common shingles weigh too little for a link are passed over: they lose none.
        Pairs of which fewer than ``EQUAL_BITS`` of the samples' low bits agree are passed over: a pair of similarity 0.8 has 461 of
        512 on average with a deviation of 7, and so few with probability 0.0001.
     """
@@ -352,9 +387,9 @@ def linked(own: DataFrame, alone: DataFrame, weights: Weights, threshold: float)
     sigs = materialize(alone.select("doc_id", "sig").join(ids, "doc_id", "left_semi"), "sigs")
     side = _side(sigs, 32 + BANDS * ROWS)
     sig = lambda c: side.select(F.col("doc_id").alias(c), F.col("sig").alias(f"{c}_sig"))
-    first = met.filter("a != b").select("a", "b").distinct().join(sig("a"), "a").join(sig("b"), "b")
+    agreeing = lambda these: these.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(lambda it: _agreeing(it, AGREE), "a long, b long")
     pairs = _Pairs(text, weights, threshold)
-    found = pairs.links(first.mapInArrow(lambda it: _agreeing(it, AGREE), "a long, b long"))
+    found = pairs.links(agreeing(met.filter("a != b").select("a", "b").distinct()))
     if found is None:
         return met.select("b", "b").toDF("doc_id", "label").limit(0), pairs.known.read()
     labels = components(found)
@@ -365,22 +400,27 @@ def linked(own: DataFrame, alone: DataFrame, weights: Weights, threshold: float)
     within = materialize(met.filter("a != b").join(left, "band").select(F.col("b").alias("doc_id")).distinct(), "within")
     held, parts = pairs.held, max(own.sparkSession.sparkContext.defaultParallelism, within.count() // DEEP_TEXTS)
     deep = text.join(_side(within, 8), "doc_id", "left_semi").repartition(parts, "doc_id")
-    deep = materialize(deep.mapInArrow(lambda it: _deeper(it, held.value), _DEEP), "deep")
-    bits = _side(deep.select("doc_id", "bits"), 16 + MANY // 8)
+    sharing, shares = rare_and_common(deep, held, threshold)
+    new = pairs.links(agreeing(_across(labels, sharing)))
+    labels = labels if new is None else joined(labels, new)
+    shares = _side(shares, 24)
+    deep = materialize(deep.join(shares, "doc_id", "left_semi").mapInArrow(lambda it: _deeper(it, held.value), _DEEP), "deep")
+    bits = _side(materialize(deep.select("doc_id", "bits").join(shares, "doc_id"), "bits"), 32 + MANY // 8)
     rows = deep.select(F.explode("keys").alias("key"), "doc_id")
     step = 0
     while True:
         n_leaders = min(4**step, MOST_LEADERS)
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
         of = _side(materialize(labels.join(sizes, "label").select("doc_id", "label", "size"), "sized"), 24)
-        now = rows.join(bits, "doc_id").join(of, "doc_id", "left").select("key", "bits", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        chosen = F.array(*(F.min(F.struct("size", F.xxhash64("doc_id", F.lit(100 * step + k)).alias("draw"), F.col("doc_id").alias("id"), "label", "bits")) for k in range(n_leaders)))
+        now = rows.join(bits, "doc_id").join(of, "doc_id", "left").select("key", "bits", "total", "common", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+        chosen = F.array(*(F.min(F.struct("size", F.xxhash64("doc_id", F.lit(100 * step + k)).alias("draw"), F.col("doc_id").alias("id"), "label", "bits", "total", "common")) for k in range(n_leaders)))
         several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), chosen.alias("led")).filter("low < high")
-        led = materialize(several.select("key", F.array_distinct(F.transform("led", lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["bits"].alias("bits")))).alias("led")), "led")
+        led = materialize(several.select("key", F.array_distinct(F.transform("led", lambda x: F.struct(*(x[c].alias(c) for c in ("id", "label", "bits", "total", "common"))))).alias("led")), "led")
         if led.count() == 0:
             break
-        met = materialize(now.join(_side(led, 32 + (24 + MANY // 8) * n_leaders), "key"), "met")
-        near = F.filter("led", lambda x: (x["label"] != F.col("label")) & (_equal_bits(x["bits"], F.col("bits")) >= EQUAL_BITS))
+        met = materialize(now.join(_side(led, 32 + (40 + MANY // 8) * n_leaders), "key"), "met")
+        enough = lambda x: (1 + threshold) * F.least(x["common"], "common") >= (threshold - SLACK) * (x["total"] + F.col("total"))
+        near = F.filter("led", lambda x: (x["label"] != F.col("label")) & enough(x) & (_equal_bits(x["bits"], F.col("bits")) >= EQUAL_BITS))
         against = met.select("doc_id", F.explode(F.transform(near, lambda x: x["id"])).alias("id"))
         new = pairs.links(against.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b")).distinct())
         labels = labels if new is None else joined(labels, new)
@@ -407,6 +447,13 @@ def components(found: DataFrame) -> DataFrame:
         labels = after.select("doc_id", "label")
 
 
+def _across(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those of two components."""
+    side = _side(labels, 16)
+    of = lambda c: side.select(F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of components, then a new label for the members of those that grew."""
     side = _side(labels, 16)

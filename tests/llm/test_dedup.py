@@ -173,6 +173,58 @@ def test_hot_line_and_large_group(spark):
     assert all((r.n_links > 0) == (sum(w == want[r.doc_id] for i, w in want.items() if dict(rows)[i] != dict(rows)[r.doc_id]) > 0) for r in found)
 
 
+def test_texts_that_have_not_enough_in_common(spark, monkeypatch):
+    """Texts that each changed more of a common one than a link allows don't meet all that changed little, and no link is lost."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join([*base, word()])) for i in range(100)]
+    for i in range(100, 180):
+        own = list(base)
+        for k in range(3):
+            own[10 + 45 * k + rng.randrange(20)] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(200 + k, rows[100 + k][1] + " and more") for k in range(0, 60, 6)]
+    held = []
+    kept = nd._Pairs.links
+    monkeypatch.setattr(nd._Pairs, "links", lambda self, close: (held.append(self), kept(self, close))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts, n = nd.document_frequencies(nd.texts(df))
+    want = brute_classes(rows, nd.Weights(counts, n))
+    assert {r.doc_id: r.class_id for r in nd.classes(df).collect()} == want
+    assert len(set(want.values())) == 81 and all(want[200 + k] == 100 + k for k in range(0, 60, 6))
+    assert held[-1].known.read().count() < 6 * len(rows)
+
+
+def test_rare_and_common(spark):
+    """Every link shares a rare shingle, or lies between texts whose common shingles suffice for it."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(60)] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(own + own[: rng.choice((0, 0, 9))])))
+    rows += [(90, ""), (91, "one two"), (92, "l m n o p q r"), (93, "l m n o p q s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weights = nd.Weights(*nd.document_frequencies(df))
+    vectors = {rows[i][0]: (g, weights.of(g, t)) for i, g, t in nd.shingles([t for _, t in rows])}
+    for threshold in (0.3, 0.8):
+        pairs, shares = nd.rare_and_common(df, spark.sparkContext.broadcast(weights), threshold)
+        pairs, shares = {tuple(r) for r in pairs.collect()}, {r.doc_id: r for r in shares.collect()}
+        holders = {}
+        for i, (g, _) in vectors.items():
+            for x in g.tolist():
+                holders.setdefault(x, []).append(i)
+        assert pairs == {(a, b) for h in holders.values() if len(h) <= nd.FEW for a in h for b in h if a < b}
+        for a in vectors:
+            for b in vectors:
+                if a < b and (a, b) not in pairs and (s := nd.similarity(vectors[a], vectors[b])) >= threshold:
+                    m = min(shares[a].common, shares[b].common)
+                    assert m / (shares[a].total + shares[b].total - m) >= s - 1e-6
+
+
 def test_long_text_and_clashing_ids(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(70_000)]
